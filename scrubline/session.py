@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 << 20
 
 
 def prepare_session(spark: SparkSession) -> SparkSession:
@@ -47,6 +51,33 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """A broadcast hint if, and only if, the table was counted to be small.
+
+    At most ``BROADCAST_ROWS`` + 1 rows are looked at.  A larger table comes
+    back without a hint, to be joined by shuffle.
+    """
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    seen = df.select(size.alias("b")).limit(BROADCAST_ROWS + 1).agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("b"), F.lit(0)).alias("bytes")).first()
+    small = seen["rows"] <= BROADCAST_ROWS and seen["bytes"] <= BROADCAST_BYTES
+    return F.broadcast(df) if small else df
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file, on whatever file system the path names."""
+    fs, where = files_under(spark, path)
+    stream = fs.create(where, True)
+    try:
+        stream.write(bytearray(text, "utf-8"))
+    finally:
+        stream.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()["value"]
+
+
 def files_under(spark: SparkSession, path: str):
     """The Hadoop file system and path objects of ``path``."""
     jvm = spark._jvm
