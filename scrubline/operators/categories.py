@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells
 from ..functions.cells import col as c_
+from ..session import small_table
 from .base import Change, step
 from .lookup import Lookup, attach, build, ranked
 
@@ -41,7 +42,7 @@ def _fit_standardize(df: DataFrame, col, params) -> dict:
 
 def _given(df: DataFrame, mapping: dict) -> Lookup:
     rows = [Row(k=str(k), v=str(v), n=0) for k, v in mapping.items()]
-    table = df.sparkSession.createDataFrame([tuple(r) for r in rows],
+    table = small_table(df.sparkSession, [tuple(r) for r in rows],
                                             "k string, v string, n bigint")
     return Lookup(table, rows)
 
@@ -129,6 +130,6 @@ def decode_categories(df: DataFrame, col: str, lookup: Lookup, target: str) -> D
 
 
 def _rows(df: DataFrame, rows: list[Row]) -> Lookup:
-    table = df.sparkSession.createDataFrame([tuple(r) for r in rows],
+    table = small_table(df.sparkSession, [tuple(r) for r in rows],
                                             "k string, v string, n bigint")
     return Lookup(table, rows)

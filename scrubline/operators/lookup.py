@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import small_table, stage
 
 IN_PLAN = 64            # entries written into the expression itself
 MAX_ROWS = 20_000       # entries a broadcast may hold ...
@@ -71,7 +71,7 @@ def _attach_small(df: DataFrame, key: Column, lookup: Lookup, out: str) -> DataF
         pairs = [F.lit(x) for r in lookup.rows for x in (r["k"], r["v"])]
         return df.withColumn(out, F.try_element_at(F.create_map(*pairs), key).cast(value_type))
     schema = lookup.table.select(F.col("k").alias("_k"), F.col("v").alias(out)).schema
-    table = df.sparkSession.createDataFrame([(r["k"], r["v"]) for r in lookup.rows], schema)
+    table = small_table(df.sparkSession, [(r["k"], r["v"]) for r in lookup.rows], schema)
     return (df.withColumn("_key", key)
               .join(F.broadcast(table), F.col("_key") == F.col("_k"), "left")
               .drop("_key", "_k"))
@@ -127,7 +127,7 @@ def ranked(distinct: DataFrame, order: list[Column], start: int = 1) -> DataFram
     for r in sizes:
         pairs.append((r["p"], offset))
         offset += r["count"]
-    offsets = distinct.sparkSession.createDataFrame(pairs, "p bigint, o bigint")
+    offsets = small_table(distinct.sparkSession, pairs, "p bigint, o bigint")
     return (numbered.withColumn("_p", part)
             .join(F.broadcast(offsets), F.col("_p") == F.col("p"))
             .withColumn("v", F.col("o") + place).drop("_id", "_p", "p", "o"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import cells
 from ..functions.cells import col as c_
 from ..operators.quantiles import quantiles
+from ..session import small_table
 
 BINS = 10
 TOP = 8
@@ -60,7 +61,7 @@ def column_histogram(df: DataFrame, name: str, bins: int = BINS) -> DataFrame:
     lo, hi = span["lo"], span["hi"]
     spark = df.sparkSession
     if lo is None:
-        return spark.createDataFrame([], "bin bigint, low double, high double, n bigint")
+        return small_table(spark, [], "bin bigint, low double, high double, n bigint")
     if lo == hi:  # a constant column sits in the middle of a small range
         pad = 0.001 * abs(lo) if lo else 0.001
         lo, hi = lo - pad, hi + pad

@@ -17,7 +17,7 @@ from ..functions.cells import col as c_
 from ..functions.regex import java_pattern
 from ..operators.base import count_if
 from ..operators.missing import outside
-from ..session import read_text
+from ..session import read_text, small_table
 from .profile import duplicate_rows
 
 # --- fixed values -----------------------------------------------------------
@@ -126,7 +126,7 @@ def validate(df: DataFrame, contract: dict) -> DataFrame:
 
     schema = "rule string, col string, violations bigint, passed boolean, detail string"
     if not rules:
-        return df.sparkSession.createDataFrame([], schema)
+        return small_table(df.sparkSession, [], schema)
     measured = df.agg(*counts)
     for one in singles:  # one-row tables, so the product stays one row
         measured = measured.join(F.broadcast(one))

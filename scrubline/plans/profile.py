@@ -30,6 +30,7 @@ from ..functions.text import distinct_names, non_ascii, snake_case
 from ..operators.missing import fences
 from ..operators.quantiles import quantiles
 from ..operators.rows import filled_cells
+from ..session import small_table
 
 SCHEMA = "col string, signal string, detail string, value double, text string"
 TOP = 5
@@ -45,17 +46,21 @@ def _long(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(F.stack(F.lit(len(columns)), *cells_).alias("col", "x"))
 
 
-def _signals(df: DataFrame, values: dict[tuple[str, str | None], Column],
-             col: Column | None = None) -> DataFrame:
-    """One profile row per entry of ``values`` for each row of ``df``."""
-    col = F.lit(None).cast("string") if col is None else col
-    rows = F.array(*[
-        F.struct(col.alias("col"), F.lit(signal).alias("signal"),
-                 F.lit(detail).cast("string").alias("detail"),
-                 v.cast("double").alias("value"), F.lit(None).cast("string").alias("text"))
-        for (signal, detail), v in values.items()
-    ])
-    return df.select(F.inline(rows))
+def _quoted(text: str | None) -> str:
+    if text is None:
+        return "cast(null as string)"
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _signals(df: DataFrame, entries: list[tuple[str, str, str | None, str]]) -> DataFrame:
+    """Profile rows from a wide row: each entry is (column as SQL, signal,
+    detail, name of the field with the value)."""
+    rows = ", ".join(
+        f"struct({col} as col, {_quoted(signal)} as signal, {_quoted(detail)} as detail, "
+        f"cast({value} as double) as value, cast(null as string) as text)"
+        for col, signal, detail, value in entries
+    )
+    return df.selectExpr(f"inline(array({rows}))")
 
 
 def null_share(n_rows: Column, n_filled: Column) -> Column:
@@ -74,26 +79,22 @@ def table_signals(df: DataFrame) -> DataFrame:
         *[F.count_if(~cells.blank(c_(n), kinds[n])).alias(f"b{i}")
           for i, n in enumerate(names)],
     )
-    rows = [("n_rows", None, F.col("n")), ("n_cols", None, F.lit(len(names))),
-            ("blank_rows", None, F.col("blank_rows"))]
+    none = _quoted(None)
+    rows = [(none, "n_rows", None, "n"), (none, "n_cols", None, str(len(names))),
+            (none, "blank_rows", None, "blank_rows")]
     for i, n in enumerate(names):
-        rows.append(("null_pct", n, null_share(F.col("n"), F.col(f"f{i}"))))
-        rows.append(("n_filled", n, F.col(f"f{i}")))
-        rows.append(("blank_column", n,
-                     ((F.col("n") > 0) & (F.col(f"b{i}") == 0)).cast("int")))
-    return totals.select(F.inline(F.array(*[
-        F.struct(F.lit(col).cast("string").alias("col"), F.lit(signal).alias("signal"),
-                 F.lit(None).cast("string").alias("detail"),
-                 v.cast("double").alias("value"), F.lit(None).cast("string").alias("text"))
-        for signal, col, v in rows
-    ])))
+        rows.append((_quoted(n), "n_filled", None, f"f{i}"))
+        rows.append((_quoted(n), "null_pct", None, f"p{i}"))
+        rows.append((_quoted(n), "blank_column", None, f"n > 0 and b{i} = 0"))
+    shares = {f"p{i}": null_share(F.col("n"), F.col(f"f{i}")) for i in range(len(names))}
+    return _signals(totals.withColumns(shares), rows)
 
 
 def text_values(df: DataFrame) -> DataFrame:
     """``(col, x)``: every non-null cell of the text columns."""
     names = _by_kind(df, "text")
     if not names:
-        return df.sparkSession.createDataFrame([], "col string, x string")
+        return small_table(df.sparkSession, [], "col string, x string")
     return _long(df, {n: c_(n) for n in names}).filter("x is not null")
 
 
@@ -119,22 +120,22 @@ def text_counts(values: DataFrame) -> DataFrame:
 def text_signals(df: DataFrame) -> DataFrame:
     """Date, phone, currency, number, boolean and white-space signals."""
     n_dates, n_phones = len(P.DATE_FORMATS), len(P.PHONE_FORMATS)
-    any_date = F.greatest(*[F.col(f"p{i}") for i in range(n_dates)]) > 0
-    any_phone = F.greatest(*[F.col(f"p{n_dates + i}") for i in range(n_phones)]) > 0
-    values = {("date_format", d): F.col(f"p{i}") for i, d in enumerate(P.DATE_FORMATS)}
-    values |= {("phone_format", d): F.col(f"p{n_dates + i}")
-               for i, d in enumerate(P.PHONE_FORMATS)}
-    values |= {
-        ("currency_like", None): F.col("currency"),
-        ("numeric_as_string", None): F.when(~any_date, F.col("numeric")),
-        ("bool_as_string", None): F.when(F.col("bools") == F.col("n"), F.col("n")),
-        ("whitespace", None): F.col("spaces"),
-        ("number_like", None): F.when(
-            ~any_date & ~any_phone & (F.col("numbers") > 0.9 * F.col("n"))
-            & (F.col("n") > 10), F.col("numbers")),
-        ("non_ascii", None): F.col("non_ascii"),
-    }
-    return _signals(text_counts(text_values(df)), values, F.col("col")).filter("value > 0")
+    dates = [f"p{i}" for i in range(n_dates)]
+    phones = [f"p{n_dates + i}" for i in range(n_phones)]
+    no_date = f"greatest({', '.join(dates)}) = 0"
+    no_phone = f"greatest({', '.join(phones)}) = 0"
+    entries = [("col", "date_format", d, p) for d, p in zip(P.DATE_FORMATS, dates)]
+    entries += [("col", "phone_format", d, p) for d, p in zip(P.PHONE_FORMATS, phones)]
+    entries += [
+        ("col", "currency_like", None, "currency"),
+        ("col", "numeric_as_string", None, f"if({no_date}, numeric, null)"),
+        ("col", "bool_as_string", None, "if(bools = n, n, null)"),
+        ("col", "whitespace", None, "spaces"),
+        ("col", "number_like", None,
+         f"if({no_date} and {no_phone} and numbers > 0.9D * n and n > 10, numbers, null)"),
+        ("col", "non_ascii", None, "non_ascii"),
+    ]
+    return _signals(text_counts(text_values(df)), entries).filter("value > 0")
 
 
 def nfc_signals(df: DataFrame) -> DataFrame:
@@ -146,13 +147,13 @@ def nfc_signals(df: DataFrame) -> DataFrame:
 
     counted = (text_values(df).filter(non_ascii(F.col("x"))).groupBy("col")
                .agg(F.count_if(decomposed("x")).alias("n")))
-    return _signals(counted, {("non_nfc", None): F.col("n")}, F.col("col")).filter("value > 0")
+    return _signals(counted, [("col", "non_nfc", None, "n")]).filter("value > 0")
 
 
 def number_values(df: DataFrame) -> DataFrame:
     names = _by_kind(df, "number")
     if not names:
-        return df.sparkSession.createDataFrame([], "col string, x double")
+        return small_table(df.sparkSession, [], "col string, x double")
     return _long(df, {n: c_(n).cast("double") for n in names}).filter("x is not null")
 
 
@@ -161,10 +162,10 @@ def number_signals(df: DataFrame) -> DataFrame:
     stats = number_values(df).groupBy("col").agg(
         F.min("x").alias("lo"), F.max("x").alias("hi"),
         F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"))
-    return _signals(stats, {
-        ("min", None): F.col("lo"), ("max", None): F.col("hi"),
-        ("mean", None): F.round("mean", 4), ("std", None): F.round("std", 4),
-    }, F.col("col")).filter("value is not null")
+    return _signals(stats, [
+        ("col", "min", None, "lo"), ("col", "max", None, "hi"),
+        ("col", "mean", None, "round(mean, 4)"), ("col", "std", None, "round(std, 4)"),
+    ]).filter("value is not null")
 
 
 def value_frequencies(df: DataFrame) -> DataFrame:
@@ -186,8 +187,7 @@ def value_frequencies(df: DataFrame) -> DataFrame:
                      .filter("x is not null")
                      .select("col", x.alias("k"), x.alias("f")))
     if not parts:
-        return df.sparkSession.createDataFrame(
-            [], "col string, k string, f string, n bigint")
+        return small_table(df.sparkSession, [], "col string, k string, f string, n bigint")
     counted = [p.groupBy("col", "k", "f").agg(F.count(F.lit(1)).alias("n")) for p in parts]
     out = counted[0]
     for more in counted[1:]:
@@ -222,7 +222,7 @@ def top_values(df: DataFrame, freq: DataFrame, names: list[str]) -> DataFrame:
     missing = [(r["col"], r["k"]) for r in digests if r["x"] is None]
     texts: dict[tuple[str, str], str] = {}
     if missing:
-        wanted = df.sparkSession.createDataFrame(missing, "col string, k string")
+        wanted = small_table(df.sparkSession, missing, "col string, k string")
         hits = (text_values(df.select(*[c_(n) for n in {m[0] for m in missing}]))
                 .withColumn("k", cells.group_key(F.col("x")))
                 .join(F.broadcast(wanted), ["col", "k"], "left_semi")
@@ -230,7 +230,7 @@ def top_values(df: DataFrame, freq: DataFrame, names: list[str]) -> DataFrame:
         texts = {(r["col"], r["k"]): r["x"] for r in hits.collect()}
     rows = [(r["col"], r["rank"], r["n"], r["x"] if r["x"] is not None
              else texts[r["col"], r["k"]]) for r in digests]
-    table = df.sparkSession.createDataFrame(rows, "col string, rank int, n bigint, x string")
+    table = small_table(df.sparkSession, rows, "col string, rank int, n bigint, x string")
     hidden = [n for n in names if masks.is_sensitive(n)]
     return table.select("col", "rank", "n", F.when(
         F.col("col").isin(hidden), masks.mask_whole(F.col("x"))
@@ -256,7 +256,7 @@ def outlier_counts(df: DataFrame, columns: dict[str, Column],
     limits = {n: fences(q1, q3) for n, (q1, q3) in quartiles.items()
               if q1 is not None and q3 > q1}
     if not limits:
-        return spark.createDataFrame([], "col string, n bigint")
+        return small_table(spark, [], "col string, n bigint")
     counts = df.agg(*[
         F.count_if((columns[n] < low) | (columns[n] > high)).alias(f"n{i}")
         for i, (n, (low, high)) in enumerate(limits.items())
@@ -340,7 +340,7 @@ def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     repeated = duplicate_rows(df).first()["n"]
     if repeated:
         rows.append((None, "duplicate_rows", None, float(repeated), None))
-    return spark.createDataFrame(rows, SCHEMA)
+    return small_table(spark, rows, SCHEMA)
 
 
 def as_dict(profile_table: DataFrame) -> dict:

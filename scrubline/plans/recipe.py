@@ -15,7 +15,7 @@ from ..functions import cells, masks
 from ..functions import patterns as P
 from ..functions.text import snake_case
 from ..operators.base import TOOLS, Change, plan_step
-from ..session import read_text, stage, write_text
+from ..session import read_text, small_table, stage, write_text
 
 VERSION = 1
 FIELDS = ("tool", "col", "params", "reason")
@@ -245,7 +245,7 @@ def audit_table(result: RecipeRun) -> DataFrame:
             found[f"{pending.index}:rows_affected"] = (
                 rows_before[pending.index] - _rows_at_start(measured, segment))
     spark = result.df.sparkSession
-    return spark.createDataFrame([_audit_row(r, found) for r in result.runs], AUDIT).transform(
+    return small_table(spark, [_audit_row(r, found) for r in result.runs], AUDIT).transform(
         _mask_examples)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import snake_case
+from ..session import small_table
 from .suggest import by_column, by_table, suggest_steps
 
 # --- fixed values -----------------------------------------------------------
@@ -143,7 +144,7 @@ def new_column_issues(sizes: DataFrame, known_names: DataFrame) -> DataFrame:
 
 
 def _pairs(df: DataFrame, pairs: list[tuple[str, str]], names: str) -> DataFrame:
-    return F.broadcast(df.sparkSession.createDataFrame(pairs, names))
+    return F.broadcast(small_table(df.sparkSession, pairs, names))
 
 
 def follow_up_steps(verdicts: DataFrame, after: DataFrame) -> DataFrame:
@@ -164,8 +165,7 @@ def targeted_verdicts(verdicts: DataFrame, steps: list[dict]) -> DataFrame:
     """Verdicts the given steps aimed at, plus every new issue."""
     aims = [(issue, snake_case(s["col"]) if s.get("col") else None)
             for s in steps for issue in TOOL_ISSUES.get(s["tool"], [])]
-    table = F.broadcast(verdicts.sparkSession.createDataFrame(
-        aims, "i string, c string").distinct())
+    table = _pairs(verdicts, sorted(set(aims), key=str), "i string, c string")
     hit = (F.col("issue") == F.col("i")) & (
         F.col("c").isNull() | F.col("col").isNull() | (snake(F.col("col")) == F.col("c")))
     is_new = F.col("verdict") == "new_issue"

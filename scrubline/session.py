@@ -5,13 +5,32 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 32 << 20
 
 
+def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
+    """A session for tests and benchmarks on one machine.
+
+    Python call sites in error messages are off: recording them takes longer
+    than building the plans, which hold hundreds of columns.
+    """
+    return prepare_session(
+        SparkSession.builder.master(f"local[{cores}]").appName("scrubline")
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.shuffle.partitions", str(partitions))
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.driver.memory", "12g")
+        .getOrCreate())
+
+
 def prepare_session(spark: SparkSession) -> SparkSession:
     """Settings the results rely on: one time zone, adaptive execution."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -78,6 +97,21 @@ def read_text(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()["value"]
 
 
+def small_table(spark: SparkSession, rows: list, schema: str | T.StructType) -> DataFrame:
+    """A few driver rows as a local relation, which the optimizer can fold and
+    size without running a job."""
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(schema)
+    pairs = [isinstance(f.dataType, T.MapType) for f in schema.fields]
+    columns = [
+        pa.array([list(r[i].items()) if pair and r[i] is not None else r[i] for r in rows],
+                 type=arrow.field(i).type)
+        for i, pair in enumerate(pairs)
+    ]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), schema)
+
+
 def files_under(spark: SparkSession, path: str):
     """The Hadoop file system and path objects of ``path``."""
     jvm = spark._jvm
