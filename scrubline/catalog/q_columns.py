@@ -86,10 +86,11 @@ def duck_rewrite(c: str, pattern: str, replacement: str) -> str:
     """Replace each match ``m`` of a pattern by an expression of it."""
     return (f"list_reduce(list_transform(list_zip(string_split_regex({c}, '{pattern}'), "
             f"list_append(list_transform(regexp_extract_all({c}, '{pattern}'), "
-            f"m -> {replacement}), '')), z -> z[1] || z[2]), (a, b) -> a || b)")
+            f"lambda m: {replacement}), '')), lambda z: z[1] || z[2]), lambda a, b: a || b)")
 
 
-_TITLE = duck_rewrite("text", r"[\p{Lu}\p{Ll}\p{Lt}]+", "upper(m[1]) || lower(m[2:])")
+_TITLE = duck_rewrite("text", r"[\p{Lu}\p{Ll}\p{Lt}]+",
+                      "replace(upper(m[1]), 'ẞ', 'Ss') || lower(m[2:])")
 
 
 @query("format_text_title", sql=f"""

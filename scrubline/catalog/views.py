@@ -129,7 +129,7 @@ select c_custkey as customer_id,
     as full_name,
   c_mktsegment as segment,
   cast(abs(c_acctbal) as double) as spend,
-  c_custkey * 7 % 900 + 100 as points,
+  c_custkey * 37 % 90000 + 1000 as points,
   cast(c_custkey % 60 + 20 as double) as age
 from customer
 """

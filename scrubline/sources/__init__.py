@@ -1,4 +1,5 @@
 """Reading and writing tables."""
 
-from .tables import (dedupe_column_names, pick_table, read_csv, read_jdbc,  # noqa: F401
-                     read_parquet, read_path, read_table, write_cleaned)
+from .tables import (dedupe_column_names, for_each_table, pick_table,  # noqa: F401
+                     read_csv, read_jdbc, read_parquet, read_path, read_table,
+                     write_cleaned, write_csv)

@@ -122,12 +122,12 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None,
 
 def for_each_table(tables: dict[str, DataFrame],
                    job: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, dict[str, str]]:
-    """Run one job over several tables: the results under a ``table`` column,
+    """Run one job over several tables: the results under a ``table_name`` column,
     and the errors of tables that failed without stopping the others."""
     out, failed = None, {}
     for name, df in tables.items():
         try:
-            part = job(df).withColumn("table", F.lit(name))
+            part = job(df).withColumn("table_name", F.lit(name))
         except Exception as exc:  # noqa: BLE001 - one bad table must not stop the rest
             failed[name] = f"{type(exc).__name__}: {exc}"
             continue
@@ -142,6 +142,13 @@ def cleaned_path(source: str) -> str:
     return f"{stem}_cleaned{suffix}"
 
 
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """CSV that reads back cell by cell: blanks at the ends are kept."""
+    (flat(df).write.mode(mode).option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .csv(path))
+
+
 def flat(df: DataFrame) -> DataFrame:
     """CSV holds flat values only: nested columns are written as JSON."""
     nested = [f.name for f in df.schema.fields
@@ -154,8 +161,7 @@ def write_cleaned(df: DataFrame, source: str) -> str:
     out = cleaned_path(source)
     suffix = posixpath.splitext(out)[1].lower()
     if suffix == ".csv":
-        flat(df).write.mode("errorifexists").option("header", True).option(
-            "escape", '"').csv(out)
+        write_csv(df, out)
     elif suffix == ".parquet":
         df.write.mode("errorifexists").parquet(out)
     else:

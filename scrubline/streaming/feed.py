@@ -23,7 +23,7 @@ from ..plans.profile import profile
 from ..plans.recipe import check_steps, run_recipe
 from ..plans.verify import OPEN_VERDICTS, verify_profiles
 from ..session import discard, small_table, stage
-from ..sources.tables import SUFFIXES, flat, read_path
+from ..sources.tables import SUFFIXES, read_path, write_csv
 
 LOG = "file string, status string, reason string, rows bigint"
 SKIPPED = ("_cleaned", "_attempt")
@@ -70,7 +70,7 @@ class Feed:
         try:
             return process_file(spark, path, self)
         except Exception as exc:  # noqa: BLE001 - a broken file must not stop the feed
-            return (_name(path), "quarantined", f"failed to process: {exc}"[:1000], None)
+            return (_name(path, self.landing), "quarantined", f"failed to process: {exc}"[:1000], None)
 
 
 def _wanted():
@@ -85,22 +85,26 @@ def _wanted():
     return wanted
 
 
-def _name(path: str) -> str:
-    return posixpath.basename(urlparse(path).path)
+def _name(path: str, landing: str) -> str:
+    """The file's path below the landing folder, as one flat name."""
+    full, root = unquote(urlparse(path).path), urlparse(landing).path.rstrip("/") + "/"
+    inner = full[len(root):] if full.startswith(root) else posixpath.basename(full)
+    return inner.replace("/", "__")
 
 
 def process_file(spark: SparkSession, path: str, feed: Feed) -> tuple:
     """Clean one file: ``(file, status, reason, rows)``."""
-    name = _name(path)
+    name = _name(path, feed.landing)
     stem = posixpath.splitext(name)[0]
-    df = read_path(spark, unquote(path) if path.startswith("file:") else path)
+    df = read_path(spark, unquote(path))
     try:
         check_steps(feed.steps, df.columns, allow=True)
     except ValueError as exc:
         return (name, "quarantined", f"recipe does not fit this file: {exc}", None)
-    before = profile(df)
-    cleaned = stage(run_recipe(df, feed.steps).df, "feed")
+    source = stage(df, "feed")  # the file is parsed once, all passes read columns
+    cleaned = stage(run_recipe(source, feed.steps).df, "feed")
     try:
+        before = profile(source)
         rows = cleaned.count()
         verdicts = verify_profiles(before, profile(cleaned))
         n_open = verdicts.filter(F.col("verdict").isin(OPEN_VERDICTS)).count()
@@ -112,10 +116,10 @@ def process_file(spark: SparkSession, path: str, feed: Feed) -> tuple:
                 reason = "contract violations after cleaning: " + "; ".join(
                     f"{r['rule']}({r['col'] or 'table'}): {r['violations']}" for r in broken)
         folder = f"{feed.quarantine}/{stem}_attempt" if reason else f"{feed.out}/{stem}_cleaned"
-        flat(cleaned).write.mode("overwrite").option("header", True).option(
-            "escape", '"').csv(f"{folder}.csv")
+        write_csv(cleaned, f"{folder}.csv", "overwrite")
         return (name, "quarantined" if reason else "cleaned", reason, rows)
     finally:
+        discard(source)
         discard(cleaned)
 
 
