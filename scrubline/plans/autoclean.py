@@ -26,6 +26,11 @@ class CleanResult:
     def steps(self) -> list[dict]:
         return [r.step for run in self.rounds for r in run.runs]
 
+    def release(self) -> None:
+        """Delete the intermediate tables; the result itself stays."""
+        for run in self.rounds:
+            run.release()
+
     def n_open(self) -> int:
         return self.verdicts.filter(F.col("verdict").isin(OPEN_VERDICTS)).count()
 

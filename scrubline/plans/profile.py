@@ -17,8 +17,10 @@ passes, each an aggregate with map-side combine:
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -295,31 +297,53 @@ def column_rows(df: DataFrame) -> list[tuple]:
 
 
 def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """The whole profile.  The passes run here; the result is a small local
-    table, so whatever is derived from it costs no further scan."""
+    """The whole profile.  The passes run here, side by side where they do not
+    need each other; the result is a small local table, so whatever is derived
+    from it costs no further scan."""
     df = cells.nan_to_null(df)
-    spark = df.sparkSession
-    shape = table_signals(df).collect()
-    rows: list[tuple] = column_rows(df) + [tuple(r) for r in shape
-                                           if r["value"] or r["signal"] in
-                                           ("n_rows", "n_cols", "null_pct", "n_filled")]
-    texts = text_signals(df).collect()
-    rows += [tuple(r) for r in texts if r["signal"] != "non_ascii"]
-    if any(r["signal"] == "non_ascii" for r in texts):
-        rows += [tuple(r) for r in nfc_signals(df).collect()]
-    rows += [tuple(r) for r in number_signals(df).collect()]
-
+    with ThreadPoolExecutor(4) as pool:
+        def later(job, *args):
+            return pool.submit(inheritable_thread_target(df.sparkSession)(job), *args)
+
+        shape = later(lambda: table_signals(df).collect())
+        texts = later(_text_rows, df)
+        numbers = later(lambda: number_signals(df).collect())
+        outliers = later(_outlier_rows, df, texts, approximate)
+        repeated = later(lambda: duplicate_rows(df).first()["n"])
+        values = _value_rows(df, shape.result())
+    rows = column_rows(df)
+    rows += [tuple(r) for r in shape.result()
+             if r["value"] or r["signal"] in ("n_rows", "n_cols", "null_pct", "n_filled")]
+    rows += [tuple(r) for r in texts.result() if r["signal"] != "non_ascii"]
+    rows += [tuple(r) for r in numbers.result()]
+    rows += outliers.result() + values
+    if repeated.result():
+        rows.append((None, "duplicate_rows", None, float(repeated.result()), None))
+    return small_table(df.sparkSession, rows, SCHEMA)
+
+
+def _text_rows(df: DataFrame) -> list:
+    found = text_signals(df).collect()
+    if any(r["signal"] == "non_ascii" for r in found):
+        found += nfc_signals(df).collect()
+    return found
+
+
+def _outlier_rows(df: DataFrame, texts, approximate: bool) -> list[tuple]:
     numeric = {n: c_(n).cast("double") for n in _by_kind(df, "number")}
     numeric |= {r["col"]: cells.grouped_text_to_number(c_(r["col"]))
-                for r in texts if r["signal"] == "number_like"}
-    rows += [(r["col"], "iqr_outliers", None, float(r["n"]), None)
-             for r in outlier_counts(df, numeric, approximate).collect()]
+                for r in texts.result() if r["signal"] == "number_like"}
+    return [(r["col"], "iqr_outliers", None, float(r["n"]), None)
+            for r in outlier_counts(df, numeric, approximate).collect()]
 
+
+def _value_rows(df: DataFrame, shape: list) -> list[tuple]:
+    """Signals that come from the value frequencies."""
     n_rows = next(r["value"] for r in shape if r["signal"] == "n_rows")
     filled = {r["col"]: r["value"] for r in shape if r["signal"] == "n_filled"}
+    kinds, rows = cells.kinds(df), []
     freq = value_frequencies(df).persist()
     try:
-        kinds = cells.kinds(df)
         distinct = {r["col"]: r for r in distinct_counts(freq).collect()}
         for name in df.columns:
             r = distinct.get(name)
@@ -337,10 +361,7 @@ def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
                  for r in top_values(df, freq, df.columns).collect()]
     finally:
         freq.unpersist()
-    repeated = duplicate_rows(df).first()["n"]
-    if repeated:
-        rows.append((None, "duplicate_rows", None, float(repeated), None))
-    return small_table(spark, rows, SCHEMA)
+    return rows
 
 
 def as_dict(profile_table: DataFrame) -> dict:

@@ -15,7 +15,7 @@ from ..functions import cells, masks
 from ..functions import patterns as P
 from ..functions.text import snake_case
 from ..operators.base import TOOLS, Change, plan_step
-from ..session import read_text, small_table, stage, write_text
+from ..session import discard, read_text, small_table, stage, write_text
 
 VERSION = 1
 FIELDS = ("tool", "col", "params", "reason")
@@ -85,6 +85,14 @@ class StepRun:
 class RecipeRun:
     df: DataFrame
     runs: list[StepRun]
+    staged: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Delete the written intermediate tables, once the result is stored
+        and the audit taken."""
+        for table in self.staged:
+            discard(table)
+        self.staged.clear()
 
     @property
     def fitted(self) -> list[dict | None]:
@@ -115,6 +123,7 @@ def run_recipe(df: DataFrame, steps: list[dict],
     """
     current = cells.nan_to_null(df)
     runs: list[StepRun] = []
+    staged: list[DataFrame] = []
     for i, s in enumerate(steps):
         started = time.perf_counter()
         run = StepRun(s, i, resolve(s.get("col"), current.columns))
@@ -134,11 +143,12 @@ def run_recipe(df: DataFrame, steps: list[dict],
             after = run.change.apply(current)
             if tool.shuffles(params) and not fitted and _fits_later(steps[i + 1:]):
                 after = stage(after, "recipe")
+                staged.append(after)
             run.before, run.after, current = current, after, after
         except (ValueError, TypeError, KeyError, PySparkException) as exc:
             run.status, run.error = "error", f"{type(exc).__name__}: {exc}"
         run.duration_ms = round((time.perf_counter() - started) * 1000, 1)
-    return RecipeRun(current, runs)
+    return RecipeRun(current, runs, staged)
 
 
 def _fit(df: DataFrame, tool, col: str | None, params: dict) -> dict:

@@ -102,7 +102,8 @@ def process_file(spark: SparkSession, path: str, feed: Feed) -> tuple:
     except ValueError as exc:
         return (name, "quarantined", f"recipe does not fit this file: {exc}", None)
     source = stage(df, "feed")  # the file is parsed once, all passes read columns
-    cleaned = stage(run_recipe(source, feed.steps).df, "feed")
+    run = run_recipe(source, feed.steps)
+    cleaned = stage(run.df, "feed")
     try:
         before = profile(source)
         rows = cleaned.count()
@@ -119,6 +120,7 @@ def process_file(spark: SparkSession, path: str, feed: Feed) -> tuple:
         write_csv(cleaned, f"{folder}.csv", "overwrite")
         return (name, "quarantined" if reason else "cleaned", reason, rows)
     finally:
+        run.release()
         discard(source)
         discard(cleaned)
 
