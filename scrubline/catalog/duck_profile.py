@@ -66,8 +66,8 @@ def text_rows(source: str, columns: dict[str, str]) -> list[str]:
         phones = " or ".join(hit("x", p) for p in P.PHONE_FORMATS.values())
         parts = [f"count(*) as n, coalesce(bool_or({dates}), false) as dated",
                  f"coalesce(bool_or({phones}), false) as phoned",
-                 f"count(*) filter (where {hit('x', P.CURRENCY_CELL)}) as currency",
-                 f"count(*) filter (where {hit('x', P.NUMERIC_CELL)}) as numeric_",
+                 f"count(*) filter (where {hit('trim(x)', P.CURRENCY_CELL)}) as currency",
+                 f"count(*) filter (where {hit('trim(x)', P.NUMERIC_CELL)}) as numeric_",
                  f"count(*) filter (where lower(trim(x)) in "
                  f"({', '.join(lit(w) for w in P.BOOL_WORDS)})) as bools",
                  f"count(*) filter (where x <> {duck_strip('x')}) "

@@ -13,6 +13,11 @@ from pyspark.sql import types as T
 from . import patterns as P
 
 _SPACE = r"\s\x1c-\x1f"
+# --- fixed values -----------------------------------------------------------
+# Every character Python calls white space.
+SPACES = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+          "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+# --- end of fixed values ----------------------------------------------------
 _FLOATS = (T.DoubleType, T.FloatType)
 
 
@@ -38,7 +43,7 @@ def kinds(df: DataFrame) -> dict[str, str]:
 
 def kind(df: DataFrame, name: str) -> str:
     if name not in df.columns:
-        raise ValueError(f"column '{name}' does not exist")
+        raise ValueError(f"no column '{name}'")
     return kind_of(df.schema[name].dataType)
 
 
@@ -54,11 +59,12 @@ def blank(c: Column, cell_kind: str = "text") -> Column:
     """Missing, or text made of white space only."""
     if cell_kind != "text":
         return c.isNull()
-    return c.isNull() | ~c.rlike(f"{P.U}[^{_SPACE}]")
+    return c.isNull() | (strip(c) == "")
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"{P.U}^[{_SPACE}]+|[{_SPACE}]+$", "")
+    """Without white space at the ends; looks at the outer bytes only."""
+    return F.trim(c, F.lit(SPACES))
 
 
 def collapse_spaces(c: Column) -> Column:
@@ -104,15 +110,17 @@ def as_text(df: DataFrame, name: str) -> Column:
 def text_to_number(c: Column) -> Column:
     """Text to double; anything that is not wholly a number gives null.
 
-    ``try_cast`` alone would accept Java spellings such as ``1d``.
+    ``try_cast`` alone would accept Java spellings such as ``1d``.  The first
+    character rules out most text before a pattern is tried.
     """
     s = strip(c)
-    return F.when(s.rlike(P.PLAIN_NUMBER) | s.rlike(P.INFINITY), s.try_cast("double"))
+    may_be = F.substring(s, 1, 1).isin(*"0123456789+-.iI")
+    return F.when(may_be & s.rlike(P.PLAIN_NUMBER), s.try_cast("double"))
 
 
 def grouped_text_to_number(c: Column) -> Column:
     """As :func:`text_to_number`, with thousands commas allowed."""
-    return text_to_number(F.translate(c, ",", ""))
+    return text_to_number(F.replace(c, F.lit(","), F.lit("")))
 
 
 def as_number(df: DataFrame, name: str) -> Column:

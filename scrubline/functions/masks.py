@@ -19,7 +19,8 @@ _DIGIT_RUN = r"((?<!\d)\d\d(?=\d{5})|\G(?!^))\d"
 
 def mask_email(c: Column) -> Column:
     """``juan.dc@gmail.com`` -> ``j***@g***.com``"""
-    return F.regexp_replace(c, P.U + _EMAIL_PARTS, "$1***@$2***.$3")
+    masked = F.regexp_replace(c, P.U + _EMAIL_PARTS, "$1***@$2***.$3")
+    return F.when(F.contains(c, F.lit("@")), masked).otherwise(c)
 
 
 def mask_phone(c: Column) -> Column:

@@ -24,9 +24,10 @@ PHONE_FORMATS = {
     "dashed (63-9XX-XXX-XXXX)": r"^63-9\d{2}-\d{3}-\d{4}$",
     "spaced (0917 123 4567)": r"^09\d{2} \d{3} \d{4}$",
 }
-CURRENCY_CELL = r"^\s*(?:₱|PHP|Php|php|\$|USD)\s*[\d,]+(?:\.\d+)?\s*$"
+# Both look at a cell without the white space at its ends.
+CURRENCY_CELL = r"^(?:₱|PHP|Php|php|\$|USD)\s*[\d,]+(?:\.\d+)?$"
 CURRENCY_PARTS = r"^(₱|PHP|Php|php|\$|USD)?\s*(-?[\d,]+(?:\.\d+)?)$"
-NUMERIC_CELL = r"^\s*-?[\d,]+(?:\.\d+)?\s*$"
+NUMERIC_CELL = r"^-?[\d,]+(?:\.\d+)?$"
 BOOL_WORDS = ["true", "false", "yes", "no", "y", "n", "t", "f"]
 TRUE_WORDS = ["true", "yes", "y", "t", "1"]
 FALSE_WORDS = ["false", "no", "n", "f", "0"]
@@ -49,5 +50,4 @@ NULL_WORDS = [
 # --- end of fixed values ----------------------------------------------------
 
 # Text that a plain number parser accepts (no thousands separators).
-PLAIN_NUMBER = r"^[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?$"
-INFINITY = r"^(?i)[+-]?inf(?:inity)?$"
+PLAIN_NUMBER = (r"^[+-]?(?:(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?|(?i:inf(?:inity)?))$")

@@ -12,7 +12,7 @@ def java_pattern(pattern: str, ignore_case: bool = False) -> str:
     try:
         re.compile(pattern)
     except re.error as exc:
-        raise ValueError(f"invalid regex '{pattern}': {exc}") from exc
+        raise ValueError(f"bad pattern {pattern!r}: {exc}") from exc
     named = pattern.replace("(?P<", "(?<")
     named = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", named)
     return ("(?iu)" if ignore_case else "") + U + named

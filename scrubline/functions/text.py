@@ -14,7 +14,8 @@ _LETTERS = r"[\p{IsLowercase}\p{IsUppercase}\p{Lt}]+"
 
 
 def non_ascii(c: Column) -> Column:
-    return c.rlike(r"[^\x00-\x7F]")
+    """More bytes than characters; no text is decoded to see that."""
+    return F.octet_length(c) != F.length(c)
 
 
 def nfc(c: Column) -> Column:

@@ -67,9 +67,9 @@ def plan_step(df: DataFrame, tool: str, col: str | None = None,
         raise ValueError(f"unknown tool: {tool}")
     spec = TOOLS[tool]
     if spec.needs_column and col is None:
-        raise ValueError(f"tool '{tool}' requires a column")
+        raise ValueError(f"{tool} works on a column, none is named")
     if col is not None and col not in df.columns:
-        raise ValueError(f"column '{col}' does not exist")
+        raise ValueError(f"no column '{col}'")
     if spec.check:
         spec.check(params)
     if fitted is None:

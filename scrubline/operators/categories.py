@@ -66,7 +66,7 @@ def standardize_categories(df: DataFrame, col, params, fitted) -> Change:
 
 def _category_order(params: dict) -> None:
     if params.get("order", "sorted") not in ("sorted", "frequency", "appearance"):
-        raise ValueError(f"unknown order: {params['order']}")
+        raise ValueError("order must be sorted, frequency or appearance")
 
 
 def category_codes(df: DataFrame, name: str, order: str = "sorted", start: int = 1,

@@ -17,7 +17,7 @@ def _named(df: DataFrame, col, params) -> list[str]:
     names = list(params.get("columns") or ([col] if col else []))
     unknown = [n for n in names if n not in df.columns]
     if unknown:
-        raise ValueError(f"column(s) do not exist: {unknown}")
+        raise ValueError(f"unknown column(s): {unknown}")
     return names
 
 
@@ -54,7 +54,7 @@ def rename_columns(df: DataFrame, col, params, fitted) -> Change:
 
 def _needs_find(params: dict) -> None:
     if "find" not in params:
-        raise ValueError("replace_values needs params.find")
+        raise ValueError("say what to replace: params.find is missing")
     if params.get("regex"):
         java_pattern(str(params["find"]))
 
@@ -79,7 +79,7 @@ def replace_values(df: DataFrame, col, params, fitted) -> Change:
 
 def _known_case(params: dict) -> None:
     if params.get("case", "title") not in text.CASES:
-        raise ValueError(f"unknown case: {params['case']} (use {'/'.join(text.CASES)})")
+        raise ValueError(f"case must be one of {list(text.CASES)}")
 
 
 @step("format_text", check=_known_case, asked_only=lambda params: True)
@@ -101,7 +101,7 @@ def trim_whitespace(df: DataFrame, col, params, fitted) -> Change:
 
 def _fit_round(df: DataFrame, col, params) -> dict:
     if df.filter(cells.as_number(df, col).isNotNull()).isEmpty():
-        raise ValueError(f"'{col}' has no numeric values to round")
+        raise ValueError(f"no number to round in '{col}'")
     return {}
 
 
@@ -133,15 +133,15 @@ def moments(df: DataFrame, col: str) -> dict:
 
 def _scale_method(params: dict) -> None:
     if params.get("method", "minmax") not in ("minmax", "zscore"):
-        raise ValueError(f"unknown scale method: {params['method']}")
+        raise ValueError("method must be minmax or zscore")
 
 
 def _fit_scale(df: DataFrame, col, params) -> dict:
     fitted = moments(df, col)
     if fitted["n"] < 2:
-        raise ValueError(f"'{col}' needs at least 2 numeric values to scale")
+        raise ValueError(f"scaling '{col}' takes two numbers or more")
     if fitted["min"] == fitted["max"]:
-        raise ValueError(f"'{col}' is constant; nothing to scale")
+        raise ValueError(f"all numbers in '{col}' are equal, so they have no scale")
     return fitted
 
 

@@ -73,7 +73,7 @@ def truth(c: Column) -> Column:
 
 def _target(params: dict) -> None:
     if params.get("target", "numeric") not in ("numeric", "bool"):
-        raise ValueError(f"unknown dtype target: {params['target']}")
+        raise ValueError("target must be numeric or bool")
 
 
 @step("fix_dtypes", check=_target)

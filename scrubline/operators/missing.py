@@ -18,9 +18,9 @@ _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 def _impute_params(params: dict) -> None:
     strategy = params.get("strategy", "flag_only")
     if strategy not in ("flag_only", "mean", "median", "mode", "constant"):
-        raise ValueError(f"unknown impute strategy: {strategy}")
+        raise ValueError(f"no such strategy: {strategy}")
     if strategy == "constant" and params.get("value") is None:
-        raise ValueError("impute 'constant' needs params.value")
+        raise ValueError("a constant fill takes params.value")
 
 
 def _fit_impute(df: DataFrame, col, params) -> dict:
@@ -34,7 +34,7 @@ def _fit_impute(df: DataFrame, col, params) -> dict:
         top = (df.filter(c_(col).isNotNull()).groupBy(c_(col).alias("v")).count()
                .orderBy(F.desc("count"), F.asc("v")).first())
         if top is None:
-            raise ValueError(f"'{col}' has no values to compute a mode from")
+            raise ValueError(f"'{col}' is empty, it has no mode")
         return {"fill": top["v"]}
     if strategy == "mean":
         fill = moments(df, col)["mean"]
@@ -42,7 +42,7 @@ def _fit_impute(df: DataFrame, col, params) -> dict:
         approximate = bool(params.get("approximate"))
         fill = quantiles(df, {col: cells.as_number(df, col)}, [0.5], approximate)[col][0]
     if fill is None:
-        raise ValueError(f"impute '{strategy}' needs numeric values in '{col}'")
+        raise ValueError(f"no number in '{col}' to take a {strategy} of")
     return {"fill": fill}
 
 
@@ -78,7 +78,7 @@ def _fill(df: DataFrame, col: str, fill) -> Column:
 
 def _outlier_method(params: dict) -> None:
     if params.get("method", "iqr") not in ("iqr", "zscore"):
-        raise ValueError(f"unknown outlier method: {params['method']}")
+        raise ValueError("method must be iqr or zscore")
 
 
 def _fit_outliers(df: DataFrame, col, params) -> dict:

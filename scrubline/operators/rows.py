@@ -88,7 +88,7 @@ def _number(value) -> float | None:
 def _one_condition(params: dict) -> None:
     known = ("equals", "contains", "regex", "is_null", "min", "max")
     if not any(params.get(k) is not None and params.get(k) is not False for k in known):
-        raise ValueError(f"drop_rows_where needs one of: {', '.join(known)}")
+        raise ValueError(f"no condition given; use one of {list(known)}")
     if "regex" in params:
         java_pattern(params["regex"])
 

@@ -1,8 +1,8 @@
 """Declarative expectations and the violations a table has against them.
 
-    {"columns": {"age": {"min": 0, "max": 120, "not_null": true},
-                 "id": {"unique": true, "required": true}},
-     "table": {"min_rows": 1, "no_duplicate_rows": true}}
+    {"columns": {"l_discount": {"min": 0, "max": 0.1, "not_null": true},
+                 "l_comment": {"regex": "[a-z ]+", "required": false}},
+     "table": {"min_rows": 1000}}
 """
 
 from __future__ import annotations
@@ -27,10 +27,10 @@ RULES = {"min", "max", "allowed", "not_null", "unique", "regex", "required"}
 
 def check_contract(contract: dict) -> dict:
     if not isinstance(contract, dict) or "columns" not in contract:
-        raise ValueError("contract needs a top-level 'columns' mapping")
+        raise ValueError("a contract is a mapping with 'columns'")
     for col, rules in contract["columns"].items():
         if unknown := sorted(set(rules) - RULES):
-            raise ValueError(f"unknown rule(s) for '{col}': {unknown}")
+            raise ValueError(f"no such rules on '{col}': {unknown}")
         if "regex" in rules:
             java_pattern(rules["regex"])
     return contract

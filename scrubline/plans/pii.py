@@ -17,7 +17,8 @@ RISK_ORDER = ["high", "medium", "low"]
 
 
 def detect(c: Column, kind: str) -> Column:
-    return c.rlike(P.U + DETECTORS[kind])
+    found = c.rlike(P.U + DETECTORS[kind])
+    return F.contains(c, F.lit("@")) & found if kind == "email" else found
 
 
 def scannable(df: DataFrame) -> list[str]:

@@ -100,22 +100,53 @@ def text_values(df: DataFrame) -> DataFrame:
     return _long(df, {n: c_(n) for n in names}).filter("x is not null")
 
 
+def _which(c: Column, patterns: dict[str, str], possible: dict[str, Column]) -> Column:
+    """Index of the format a cell has; no cell has two of them, so the tests
+    stop at the first that fits."""
+    out = None
+    for i, (name, p) in enumerate(patterns.items()):
+        hit = possible.get(name, possible["other"]) & c.rlike(p)
+        out = F.when(hit, i) if out is None else out.when(hit, i)
+    return out
+
+
 def text_counts(values: DataFrame) -> DataFrame:
-    """Format and cleanliness counts per column of ``(col, x)``."""
-    x, word = F.col("x"), F.col("word")
-    values = values.withColumn("word", cells.fold(x))
-    formats = [F.count_if(x.rlike(p)) for p in
-               [*P.DATE_FORMATS.values(), *P.PHONE_FORMATS.values()]]
-    return values.groupBy("col").agg(
+    """Format and cleanliness counts per column of ``(col, x)``.
+
+    The first character and the length decide which patterns a cell can match
+    at all, so plain text is hardly ever given to a pattern, and long text to
+    only two of them.  A pattern's ``$`` also stands before a last line feed,
+    hence one character more than the formats are long.
+    """
+    x, bare, head, n = F.col("x"), F.col("bare"), F.col("head"), F.col("chars")
+    digit = head.between("0", "9")
+    dated = {"long (Month DD, YYYY)": head.between("A", "Z"),
+             "other": digit & n.between(8, 11)}
+    phoned = {"other": head.isin("0", "+", "6") & n.between(11, 16)}
+    seen = (
+        values.withColumn("bare", cells.strip(x))
+        .withColumn("head", F.substring(x, 1, 1)).withColumn("chars", F.length(x))
+        .withColumn("date", _which(x, P.DATE_FORMATS, dated))
+        .withColumn("phone", F.when(F.col("date").isNull(),
+                                    _which(x, P.PHONE_FORMATS, phoned)))
+        .withColumn("head", F.substring(bare, 1, 1))
+        .withColumn("numeric", (digit | head.isin("-", ",")) & bare.rlike(P.U + P.NUMERIC_CELL))
+    )
+    currency = head.isin("₱", "P", "p", "$", "U") & bare.rlike(P.U + P.CURRENCY_CELL)
+    bools = (F.length(bare) <= 5) & F.lower(bare).isin(P.BOOL_WORDS)
+    # Digits and commas are a number once the commas are gone; other spellings
+    # (signs, exponents) are parsed.
+    number = F.when(F.col("numeric") & digit, True).otherwise(
+        head.isin(*"0123456789+-.,iI") & cells.grouped_text_to_number(bare).isNotNull())
+    return seen.groupBy("col").agg(
         F.count(F.lit(1)).alias("n"),
-        *[f.alias(f"p{i}") for i, f in enumerate(formats)],
-        F.count_if(x.rlike(P.U + P.CURRENCY_CELL)).alias("currency"),
-        F.count_if(x.rlike(P.U + P.NUMERIC_CELL)).alias("numeric"),
-        F.count_if(word.isin(P.BOOL_WORDS)).alias("bools"),
-        (F.count_if(x != cells.strip(x)) + F.count_if(cells.has_double_space(x)))
-        .alias("spaces"),
-        F.count_if(cells.grouped_text_to_number(x).isNotNull()).alias("numbers"),
-        F.count_if(non_ascii(x)).alias("non_ascii"),
+        *[F.count_if(F.col("date") == i).alias(f"p{i}") for i in range(len(P.DATE_FORMATS))],
+        *[F.count_if(F.col("phone") == i).alias(f"p{len(P.DATE_FORMATS) + i}")
+          for i in range(len(P.PHONE_FORMATS))],
+        F.count_if(currency).alias("currency"), F.count_if("numeric").alias("numeric"),
+        F.count_if(bools).alias("bools"),
+        (F.count_if(x != bare) + F.count_if(cells.has_double_space(x))).alias("spaces"),
+        F.count_if(number).alias("numbers"), F.count_if(non_ascii(x)).alias("non_ascii"),
     )
 
 

@@ -37,17 +37,17 @@ def check_steps(steps: list[dict], columns: list[str] | None = None,
         if tool is None:
             raise ValueError(f"step {i}: unknown tool '{s['tool']}'")
         if tool.needs_column and s["col"] is None:
-            raise ValueError(f"step {i}: tool '{tool.name}' requires a column")
+            raise ValueError(f"step {i}: {tool.name} works on a column, none is named")
         if tool.asked_only(s["params"]) and not allow:
-            raise ValueError(f"step {i}: '{tool.name}' with {s['params']} is only allowed "
-                             "when explicitly asked for")
+            raise ValueError(f"step {i}: {tool.name} {s['params']} changes or deletes data; "
+                             "pass allow=True if that is wanted")
         if tool.check:
             tool.check(s["params"])
         if columns is not None:
             named = [s["col"]] if s["col"] is not None else []
             for c in named + list(s["params"].get("columns", [])):
                 if c not in known:
-                    raise ValueError(f"step {i}: column '{c}' does not exist")
+                    raise ValueError(f"step {i}: no column '{c}'")
     return steps
 
 
@@ -153,7 +153,7 @@ def run_recipe(df: DataFrame, steps: list[dict],
 
 def _fit(df: DataFrame, tool, col: str | None, params: dict) -> dict:
     if tool.needs_column and col not in df.columns:
-        raise ValueError(f"column '{col}' does not exist")
+        raise ValueError(f"no column '{col}'")
     if tool.check:
         tool.check(params)
     return tool.fit(df, col, params)

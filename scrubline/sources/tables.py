@@ -94,7 +94,7 @@ def pick_table(names: list[str], wanted: str | None = None) -> str:
             raise ValueError(f"no table '{wanted}' among {sorted(names)}")
         return wanted
     if len(names) != 1:
-        raise ValueError(f"database has tables {sorted(names)}; name one of them")
+        raise ValueError(f"several tables, name one: {sorted(names)}")
     return names[0]
 
 
