@@ -141,14 +141,15 @@ _encode("encode_new_column", "priority", {"new_column": True, "start": 0},
 
 
 @query("encode_categories_wide", uses=ORDERS, sql="""
-select order_id, dense_rank() over (order by phone nulls last) as phone_code
-from dirty_orders where phone is not null
-union all select order_id, null from dirty_orders where phone is null""")
+select order_id, dense_rank() over (order by total) as total_code
+from dirty_orders where total is not null
+union all select order_id, null from dirty_orders where total is null""")
 def _(spark, sf):
-    """Codes for a column with many values, numbered without a global sort."""
-    df = view(spark, sf, "dirty_orders").select("order_id", "phone")
-    return apply_step(df, "encode_categories", "phone", {"new_column": True}).select(
-        "order_id", "phone_code")
+    """Codes for a column with many values, numbered without a global sort and
+    joined by shuffle."""
+    df = view(spark, sf, "dirty_orders").select("order_id", "total")
+    return apply_step(df, "encode_categories", "total", {"new_column": True}).select(
+        "order_id", "total_code")
 
 
 @query("encode_decode", uses=ORDERS, sql="""

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..session import small_table, stage
 
 IN_PLAN = 64            # entries written into the expression itself
-MAX_ROWS = 20_000       # entries a broadcast may hold ...
+MAX_ROWS = 10_000       # entries a broadcast may hold ...
 MAX_CHARS = 500         # ... each of at most this many characters
 SPREAD = 100_000
 
