@@ -129,10 +129,11 @@ def _(spark, sf):
 
 
 @query("pii_rows", sql=f"""
-select doc_id, list_filter([case when regexp_matches(text, '{EMAIL_U}') then 'email' end,
+select doc_id, array_to_string(list_filter([case when regexp_matches(text, '{EMAIL_U}') then 'email' end,
   case when regexp_matches(text, '{PHONE}') then 'ph_phone' end,
-  case when regexp_matches(text, '{NAME_U}') then 'person_name' end], lambda x: x is not null)
+  case when regexp_matches(text, '{NAME_U}') then 'person_name' end], lambda x: x is not null), ',')
   as pii_kinds from documents where regexp_matches(text, '{EMAIL_U}|{PHONE}|{NAME_U}')""")
 def _(spark, sf):
     df = table(spark, sf, "documents").select("doc_id", "text")
-    return pii.pii_rows(df, ["text"]).select("doc_id", "pii_kinds")
+    return pii.pii_rows(df, ["text"]).select(
+        "doc_id", F.array_join("pii_kinds", ",").alias("pii_kinds"))

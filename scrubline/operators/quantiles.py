@@ -41,10 +41,8 @@ class _Rank:
             cond = cond & (x < F.lit(self.high))
         return cond
 
-    def fractions(self) -> list[float]:
-        middle = (self.rank - self.below) / max(self.inside - 1, 1)
-        margin = 2.0 / ACCURACY
-        return [max(0.0, middle - margin), min(1.0, middle + margin)]
+    def fraction(self) -> float:
+        return (self.rank - self.below) / max(self.inside - 1, 1)
 
     def narrow(self, a: float, b: float, n_under: int, n_a: int,
                n_mid: int, n_b: int) -> None:
@@ -79,16 +77,26 @@ def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float
         F.when(F.abs(columns[n].cast("double")) < float("inf"), columns[n].cast("double"))
         .alias(f"q{i}") for i, n in enumerate(names)
     ])
-    totals = data.agg(*[F.count(x[n]).alias(f"q{i}") for i, n in enumerate(names)]).first()
-    total = {n: totals[i] for i, n in enumerate(names)}
+    # The first pass counts and already sketches around the probabilities.
+    around = [f for p in probs for f in _around(p)]
+    opening = data.agg(
+        *[F.count(x[n]).alias(f"n{i}") for i, n in enumerate(names)],
+        *[F.percentile_approx(x[n], around, ACCURACY).alias(f"s{i}")
+          for i, n in enumerate(names)]).first()
+    total = dict(zip(names, opening[:len(names)]))
+    sketch = dict(zip(names, opening[len(names):]))
 
     ranks: dict[tuple[str, int], _Rank] = {}
+    brackets: list[tuple[_Rank, float, float]] = []
     for n in names:
-        for p in probs:
+        for j, p in enumerate(probs):
             spot = p * (total[n] - 1)
             for r in {math.floor(spot), math.ceil(spot)} if total[n] else ():
-                ranks.setdefault((n, r), _Rank(n, r, total[n]))
-
+                if (n, r) not in ranks:
+                    ranks[n, r] = _Rank(n, r, total[n])
+                    if total[n] > small:
+                        brackets.append((ranks[n, r], *sketch[n][2 * j:2 * j + 2]))
+    _narrow(data, x, brackets)
     while open_ranks := [r for r in ranks.values() if r.answer is None]:
         _round(data, x, open_ranks, small)
 
@@ -102,46 +110,60 @@ def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float
     return {n: [at(n, p) for p in probs] for n in names}
 
 
+def _around(fraction: float) -> list[float]:
+    margin = 2.0 / ACCURACY
+    return [max(0.0, fraction - margin), min(1.0, fraction + margin)]
+
+
+def _at(values: Column, positions: list[int]) -> Column:
+    return F.transform(F.array(*[F.lit(p) for p in positions]), lambda i: F.get(values, i))
+
+
 def _round(data: DataFrame, x: dict[str, Column], ranks: list[_Rank], small: int) -> None:
-    """One narrowing round for all open ranks at once."""
-    few = {}
+    """Answer the ranks in small brackets, sketch inside the others."""
+    groups: dict[tuple, list[_Rank]] = {}
     for r in ranks:
-        if r.inside <= small:
-            few.setdefault((r.column, r.low, r.high), []).append(r)
-    big = [r for r in ranks if r.inside > small]
-    aggregates = [
-        F.sort_array(F.collect_list(F.when(group[0].between(x[c]), x[c])))
-        for (c, _, _), group in few.items()
-    ]
+        groups.setdefault((r.column, r.low, r.high), []).append(r)
+    few = [g for g in groups.values() if g[0].inside <= small]
+    big = [g for g in groups.values() if g[0].inside > small]
+
+    def inside(group: list[_Rank]) -> Column:
+        c = x[group[0].column]
+        return F.when(group[0].between(c), c)
+
     # Positions are looked up in Spark, so only the answers come to the driver.
     answers = [
-        F.array(*[F.get(values, F.lit(r.rank - r.below)) for r in group])
-        for values, group in zip(aggregates, few.values())
-    ]
-    sketches = [
-        F.percentile_approx(F.when(r.between(x[r.column]), x[r.column]),
-                            r.fractions(), ACCURACY)
-        for r in big
+        _at(F.sort_array(F.collect_list(inside(g))), [r.rank - r.below for r in g])
+        for g in few
     ]
-    first = data.agg(*[a.alias(f"v{i}") for i, a in enumerate(answers + sketches)]).first()
-    for group, values in zip(few.values(), first[:len(few)]):
-        for r, value in zip(group, values):
+    sketches = [F.percentile_approx(inside(g), [f for r in g for f in _around(r.fraction())],
+                                    ACCURACY) for g in big]
+    row = data.agg(*[a.alias(f"v{i}") for i, a in enumerate(answers + sketches)]).first()
+    for g, found in zip(few, row[:len(few)]):
+        for r, value in zip(g, found):
             r.answer = value
-    if not big:
-        return
-    counts = []
-    for r, (a, b) in zip(big, first[len(few):]):
+    _narrow(data, x, [(r, *found[2 * j:2 * j + 2])
+                      for g, found in zip(big, row[len(few):]) for j, r in enumerate(g)])
+
+
+def _narrow(data: DataFrame, x: dict[str, Column],
+            brackets: list[tuple[_Rank, float, float]]) -> None:
+    """One counting pass that tells each rank's place relative to a <= b."""
+    wanted: dict[tuple, Column] = {}
+    for r, a, b in brackets:
         v, inside = x[r.column], r.between(x[r.column])
-        same = F.lit(a == b)
-        counts.append(F.array(
+        wanted.setdefault((r.column, r.low, r.high, a, b), F.array(
             F.count_if(inside & (v < F.lit(a))),
             F.count_if(inside & (v == F.lit(a))),
             F.count_if(inside & (v > F.lit(a)) & (v < F.lit(b))),
-            F.count_if(inside & (v == F.lit(b)) & ~same),
+            F.count_if(inside & (v == F.lit(b)) & F.lit(a != b)),
         ))
-    counted = data.agg(*[c.alias(f"n{i}") for i, c in enumerate(counts)]).first()
-    for r, (a, b), parts in zip(big, first[len(few):], counted):
-        r.narrow(a, b, *parts)
+    if not wanted:
+        return
+    row = data.agg(*[c.alias(f"n{i}") for i, c in enumerate(wanted.values())]).first()
+    counts = dict(zip(wanted, row))
+    for r, a, b in brackets:
+        r.narrow(a, b, *counts[r.column, r.low, r.high, a, b])
 
 
 def quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float],
