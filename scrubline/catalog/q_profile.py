@@ -130,9 +130,9 @@ def _(spark, sf):
     df = view(spark, sf, "dirty_orders")
     texts = [n for n, k in cells.kinds(df).items() if k == "text"]
     counts = profile.distinct_counts(profile.value_frequencies(df.select(*texts)))
-    rows = df.agg(F.count(F.lit(1)).alias("rows"))
+    rows = df.agg(F.count(F.lit(1))).scalar()
     low = F.col("n_unique") <= F.greatest(F.lit(20), F.floor(F.col("rows") / 20))
-    return (counts.join(F.broadcast(rows)).filter(low & (F.col("folded") < F.col("n_unique")))
+    return (counts.withColumn("rows", rows).filter(low & (F.col("folded") < F.col("n_unique")))
             .select("col", F.col("n_unique").cast("double").alias("raw"),
                     F.col("folded").cast("double").alias("folded")))
 

@@ -111,11 +111,10 @@ def row_loss(n_before: int, n_after: int) -> str | None:
 
 def row_loss_table(before: DataFrame, after: DataFrame) -> DataFrame:
     """``(n_before, n_after, loss, verdict)`` as one lazy row."""
-    a = before.agg(F.count(F.lit(1)).alias("n_before"))
-    b = after.agg(F.count(F.lit(1)).alias("n_after"))
+    rows = before.agg(F.count(F.lit(1)).alias("n_before")).withColumn(
+        "n_after", after.agg(F.count(F.lit(1))).scalar())
     loss = F.coalesce(F.try_divide(F.col("n_before") - F.col("n_after"), F.col("n_before")),
                       F.lit(0.0))
     verdict = (F.when((F.col("n_before") > 0) & (F.col("n_after") == 0), "refused")
                .when(F.col("loss") >= 0.5, "warning").otherwise("ok"))
-    return (a.join(F.broadcast(b))
-            .withColumn("loss", F.round(loss, 6)).withColumn("verdict", verdict))
+    return rows.withColumn("loss", F.round(loss, 6)).withColumn("verdict", verdict)

@@ -38,7 +38,7 @@ def column_stats(df: DataFrame, name: str, approximate: bool = False) -> DataFra
     def when_numeric(c):
         return F.when(numeric, F.round(c, 4))
 
-    return row.join(F.broadcast(unique)).select(
+    return row.withColumn("unique", unique.scalar()).select(
         F.lit(name).alias("col"), "n", (F.col("n") - F.col("filled")).alias("nulls"),
         F.coalesce(F.round(F.try_divide(100.0 * (F.col("n") - F.col("filled")), F.col("n")), 1),
                    F.lit(0.0)).alias("null_pct"),
@@ -80,7 +80,6 @@ def column_top_values(df: DataFrame, name: str, top: int = TOP) -> DataFrame:
     """``(value, n, pct)``: the most frequent values and their share."""
     counted = (df.filter(c_(name).isNotNull()).groupBy(cells.as_text(df, name).alias("value"))
                .agg(F.count(F.lit(1)).alias("n")))
-    total = df.agg(F.count(c_(name)).alias("filled"))
+    total = df.agg(F.count(c_(name))).scalar()
     best = counted.orderBy(F.desc("n"), "value").limit(top)
-    return best.join(F.broadcast(total)).select(
-        "value", "n", F.round(100.0 * F.col("n") / F.col("filled"), 1).alias("pct"))
+    return best.select("value", "n", F.round(100.0 * F.col("n") / total, 1).alias("pct"))

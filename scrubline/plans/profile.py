@@ -303,10 +303,10 @@ def outlier_counts(df: DataFrame, columns: dict[str, Column],
 def duplicate_keys(df: DataFrame, distinct: DataFrame, shape: DataFrame) -> DataFrame:
     """``(col, n)``: repeated values in columns that look like keys."""
     names = [n for n in df.columns if re.search(P.KEY_COLUMN, n)]
-    totals = shape.filter("signal = 'n_rows'").select(F.col("value").alias("rows"))
+    n_rows = shape.filter("signal = 'n_rows'").select("value").scalar()
     filled = shape.filter("signal = 'n_filled'").select("col", F.col("value").alias("filled"))
     candidates = (distinct.filter(F.col("col").isin(names))
-                  .join(filled, "col").join(F.broadcast(totals))
+                  .join(filled, "col").withColumn("rows", n_rows)
                   .filter(F.col("n_unique") >= 0.9 * F.col("rows")))
     has_null = (F.col("filled") < F.col("rows")).cast("int")
     return candidates.select(

@@ -113,7 +113,7 @@ def suggest_steps(profile: DataFrame, columns: list[str] | None = None) -> DataF
     columns and the ones on the whole table.
     """
     t = by_table(profile)
-    c = by_column(profile).join(F.broadcast(t.select("rename")))
+    c = by_column(profile).withColumn("rename", t.select("rename").scalar())
     no_col = F.lit(None).cast("string")
 
     def entry(place, rank, tool, col, params, reason, cond):
