@@ -102,13 +102,43 @@ def sizes_allow(a: str, b: str) -> Column:
     return F.least(a, b) * SIMILARITY[1] >= F.greatest(a, b) * SIMILARITY[0]
 
 
+class Cell:
+    """The members of two parts of one bucket, and the pairs that must be verified."""
+
+    def __init__(self, cell: dict, rows: list):
+        band, part, self.node, root, n, sketch, bands = zip(*(r[:7] for r in rows), strict=True)
+        self.whole = cell["i"] == cell["j"]
+        part = np.array(part)
+        self.left, self.right = (np.flatnonzero(part == cell[k]) for k in "ij")
+        self.root = np.unique(np.array(root, object), return_inverse=True)[1]
+        self.n = np.array(n)
+        self.sketch = np.array(sketch, np.int64).view(np.uint64)
+        self.earlier = np.array(bands, np.int64)[:, :band[0]]
+
+    def pairs(self, most: int):
+        """(member, the others it may be similar to, their odd bits)."""
+        num, den = SIMILARITY
+        if self.root.max(initial=0) == 0:
+            return
+        for x in self.left:
+            y = self.right[self.right > x] if self.whole else self.right
+            y = y[self.root[y] != self.root[x]]
+            y = y[np.minimum(self.n[y], self.n[x]) * den >= np.maximum(self.n[y], self.n[x]) * num]
+            if len(y):
+                odd = np.bitwise_count(self.sketch[y] ^ self.sketch[x]).sum(axis=1)
+                keep = (odd <= most) & ~(self.earlier[y] == self.earlier[x]).any(axis=1)
+                if keep.any():
+                    yield x, y[keep], odd[keep]
+
+
 def in_open_buckets(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Candidates of different components in the buckets that have more than
-    one, as ``cell, a, b``.
+    """The members that must be compared, cell by cell, in the buckets that hold
+    more than one component.
 
     A bucket is dealt into parts of about ``BLOCK`` members and a cell holds one
     pair of parts, so it never has more than two parts' members.  A pair that
-    meets in several buckets is a candidate in the first of them alone.
+    meets in several buckets is compared in the first of them alone.  Members
+    without any candidate in their cell drop out here.
     """
     rooted = members.join(roots, "node", "left").select(
         "key", "band", "node", F.coalesce("root", "node").alias("root"))
@@ -121,68 +151,57 @@ def in_open_buckets(members: DataFrame, classes: DataFrame, roots: DataFrame) ->
     cells = rows.withColumn("other", F.explode_outer(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         F.struct("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).alias("cell"),
         "band", "part", "node", "root", "n", "sketch", "bands")
-    most, (num, den) = most_odd_bits(LEAST_ESTIMATE), SIMILARITY
+    most = most_odd_bits(LEAST_ESTIMATE)
 
     def make():
-        def pairs(cell, rows):
-            band, part, node, root, n, sketch, bands = zip(*rows, strict=True)
-            if len(set(root)) == 1:
-                return []
-            part, n, band = np.array(part), np.array(n), band[0]
-            root = np.unique(np.array(root, object), return_inverse=True)[1]
-            sketch = np.array(sketch, np.int64).view(np.uint64)
-            earlier = np.array(bands, np.int64)[:, :band]
-            whole = cell["i"] == cell["j"]
-            right = np.flatnonzero(part == cell["j"])
-            found = []
-            for x in np.flatnonzero(part == cell["i"]):
-                y = right[right > x] if whole else right
-                y = y[(root[y] != root[x]) & (np.minimum(n[y], n[x]) * den >= np.maximum(n[y], n[x]) * num)]
-                if len(y):
-                    y = y[np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1) <= most]
-                    y = y[~(earlier[y] == earlier[x]).any(axis=1)]
-                    found += [(cell, node[x], node[k]) for k in y]
-            return found
-        return pairs
+        def asked(key, rows):
+            needed = {k for x, y, _ in Cell(key, rows).pairs(most) for k in (x, *y)}
+            return [(key, *rows[k]) for k in sorted(needed)]
+        return asked
 
-    return map_groups(cells, "cell", make, f"cell {CELL}, a binary, b binary")
+    return map_groups(cells, "cell", make, f"{CELL}, {MEMBER}")
 
 
-CELL = "struct<key:long,i:int,j:int>"
+CELL = "cell struct<key:long,i:int,j:int>"
+MEMBER = "band int, part int, node binary, root binary, n long, sketch array<long>, bands array<long>"
 
 
-def verify_cells(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Verified links among the candidates of each cell: as many as connect what
-    the cell's similar pairs connect.  Each text goes to a cell once."""
-    asked = pairs.select("cell", F.explode_outer(F.array("a", "b")).alias("a")).distinct()
-    rows = asked.join(texts.select(F.col("node").alias("a"), "text"), "a").select(
-        "cell", F.lit(0).alias("kind"), "a", F.lit(None).cast("binary").alias("b"), "text").unionByName(
-        pairs.select("cell", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("string").alias("text")))
+def verify_cells(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Verified links of each cell: as many as connect what its similar pairs
+    connect.  Pairs never leave their cell; the likeliest are verified first and
+    those already connected not at all."""
     num, den = SIMILARITY
+    most = most_odd_bits(LEAST_ESTIMATE)
 
     def make():
         shingles = Shingler()
 
-        def links(cell, rows):
-            sets = {a: set(shingles(text).tolist()) for kind, a, _, text in rows if not kind}
-            head = {a: a for a in sets}
+        def links(key, rows):
+            cell = Cell(key, rows)
+            sets = [set(shingles(r[-1]).tolist()) for r in rows]
+            head = list(range(int(cell.root.max()) + 1))  # components that have met here
 
             def find(x):
                 while head[x] != x:
                     head[x] = x = head[head[x]]
                 return x
 
+            pairs = [(o, x, y) for x, ys, odd in cell.pairs(most)
+                     for y, o in zip(ys.tolist(), odd.tolist(), strict=True)]
             found = []
-            for kind, a, b, _ in rows:
-                if kind and find(a) != find(b):
-                    both = len(sets[a] & sets[b])
-                    if den * both >= num * (len(sets[a]) + len(sets[b]) - both):
-                        head[find(a)] = find(b)
-                        found.append((a, b))
+            for _, x, y in sorted(pairs):
+                a, b = find(int(cell.root[x])), find(int(cell.root[y]))
+                if a != b:
+                    both = len(sets[x] & sets[y])
+                    if den * both >= num * (len(sets[x]) + len(sets[y]) - both):
+                        head[a] = b
+                        found.append((cell.node[x], cell.node[y]))
             return found
         return links
 
-    return map_groups(rows, "cell", make, "a binary, b binary")
+    return map_groups(rows.join(texts, "node").select(
+        "cell", "band", "part", "node", "root", "n", "sketch", "bands", "text"), "cell", make,
+        "a binary, b binary")
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -251,19 +270,19 @@ def classify(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ).select("a", "b"), "candidates")
 
     # one text for each class that is a candidate
-    def texts_of(pairs):
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def texts_of(asked):
+        asked = asked.distinct()
         # rows of one id with different texts both come; the digest tells them apart
         ids = classes.select("node", F.col("low").alias("id")).join(asked, "node")
         rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         rows = rows.join(ids.withColumnRenamed("id", "_low"), F.col("id").eqNullSafe(F.col("_low")))
         return stage(own_text(rows.select("node", "text")), "texts")
 
-    links = stage(verify(led, texts_of(led)), "links")
+    links = stage(verify(led, texts_of(led.select(F.explode(F.array("a", "b")).alias("node")))), "links")
     roots = stage(components(links), "roots")
     rest = stage(in_open_buckets(members, classes, roots), "candidates")
     if not rest.isEmpty():
-        links = links.unionByName(stage(verify_cells(rest, texts_of(rest)), "links"))
+        links = links.unionByName(stage(verify_cells(rest, texts_of(rest.select("node"))), "links"))
         roots = stage(components(links), "roots")
 
     rooted = classes.select("node", "low").join(roots, "node", "left").withColumn(
