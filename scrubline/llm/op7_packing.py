@@ -30,6 +30,7 @@ import zlib
 from bisect import bisect_right, insort
 from collections import defaultdict, deque
 from collections.abc import Iterator
+from struct import pack as _pack_ids
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -43,6 +44,7 @@ TIERS = (2048, 1024, 512, 256)
 STEP_TOKENS = 8 * 2048
 BUFFER = 4096
 END_ID = 1
+_SIGNS = ".,;:!?$%&#*()[]{}"
 END_OF_TEXT = {"<|endoftext|>": 50256}
 
 
@@ -56,11 +58,33 @@ class Encoder:
 
         self.coding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks,
                                         special_tokens=special)
-        self.words = Bounded(lambda word: self.whole(" " + word))
+        self.special = list(special)
+        self.words = Bounded(lambda word: self.chunk(" ", word))  # after a space
+        self.bare = Bounded(lambda word: self.chunk("", word))
+
+    def chunk(self, space: str, word: str) -> bytes:
+        """The ids of what stands between spaces.  Letters followed by signs, and
+        what a single line break parts, are tokens of their own anyway: their
+        halves are more often known."""
+        if word.isalpha():  # one piece of the pattern
+            ids = self.coding._encode_single_piece((space + word).encode())
+            return _pack_ids(f"<{len(ids)}I", *ids)
+        head, line, tail = word.partition("\n")
+        if line:
+            if head and tail and not head[-1].isspace() and not tail[0].isspace():
+                return (self.words if space else self.bare)[head] + self.bare["\n"] + self.bare[tail]
+        else:
+            core = word.rstrip(_SIGNS)
+            if core != word and core.isalpha():
+                return (self.words if space else self.bare)[core] + self.bare[word[len(core):]]
+        return self.whole(space + word)
 
     def whole(self, text: str) -> bytes:
-        ids = self.coding.encode(text, allowed_special="all")
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        if any(s in text for s in self.special):
+            ids = self.coding.encode(text, allowed_special="all")
+        else:
+            ids = self.coding.encode_ordinary(text)
+        return _pack_ids(f"<{len(ids)}I", *ids)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
@@ -68,7 +92,7 @@ class Encoder:
         if self._runs.search(text):
             return self.whole(text)
         first, *rest = text.split(" ")
-        return (self.whole(first) if first else b"") + b"".join(
+        return (self.bare[first] if first else b"") + b"".join(
             map(self.words.__getitem__, rest))
 
 
