@@ -276,6 +276,36 @@ def _(spark, sf):
     return diff.patch_cells(df, edits, "s_suppkey")
 
 
+def _mixed_edits(df):
+    """Edits that repeat, and that do not fit."""
+    key = F.col("s_suppkey")
+    picks = [(key % 4 == 0, "9", 1), (key % 4 == 0, "10", 2), (key % 6 == 0, "abc", 3)]
+    return [df.filter(hit).select(key.alias("key"), F.lit("s_acctbal").alias("col"),
+                                  F.lit(value).alias("value"), F.lit(n).alias("n")) for hit, value, n in picks]
+
+
+@query("patch_cells_last", sql="""
+select s_suppkey, case when s_suppkey % 4 = 0 then 10.0 else s_acctbal end as s_acctbal from supplier""")
+def _(spark, sf):
+    df = table(spark, sf, "supplier").select("s_suppkey", "s_acctbal")
+    first, second, _ = _mixed_edits(df)
+    return diff.patch_cells(df, first.unionByName(second), "s_suppkey", "n")
+
+
+@query("patch_cells_unfit", sql="select s_suppkey, s_acctbal from supplier")
+def _(spark, sf):
+    df = table(spark, sf, "supplier").select("s_suppkey", "s_acctbal")
+    return diff.patch_cells(df, _mixed_edits(df)[2], "s_suppkey")
+
+
+@query("patch_rejected", sql="""
+select s_suppkey as key, 's_acctbal' as col, 'abc' as value from supplier where s_suppkey % 6 = 0""")
+def _(spark, sf):
+    df = table(spark, sf, "supplier").select("s_suppkey", "s_acctbal")
+    first, second, third = _mixed_edits(df)
+    return diff.rejected_edits(df, first.unionByName(second).unionByName(third)).drop("n")
+
+
 @query("delete_rows_by_key", sql="""
 select c.c_custkey, c_name from customer c where c_custkey not in
   (select o_custkey from orders where o_orderstatus = 'P')""")

@@ -47,6 +47,16 @@ def kind(df: DataFrame, name: str) -> str:
     return kind_of(df.schema[name].dataType)
 
 
+def is_one_of(df: DataFrame, name: str, values: list) -> Column:
+    """The cell equals one of ``values`` of its own kind; values of another kind
+    match no cell."""
+    cell_kind = kind(df, name)
+    fits = {"text": lambda v: isinstance(v, str), "bool": lambda v: isinstance(v, bool),
+            "number": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool)}
+    typed = [v for v in values if fits.get(cell_kind, lambda v: True)(v)]
+    return col(name).isin(typed) if typed else F.lit(False)
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN is a missing cell; Spark's own null tests would not see it."""
     floats = [f.name for f in df.schema.fields if isinstance(f.dataType, _FLOATS)]

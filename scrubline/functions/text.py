@@ -62,18 +62,20 @@ def snake_case(name: str) -> str:
 
 
 def distinct_names(names: list[str]) -> list[str]:
-    """Repeated names get a running number: ``a, a`` -> ``a, a_2``."""
-    taken: set[str] = set(names)
+    """Repeated names get a running number: ``a, a`` -> ``a, a_2``.  Names are
+    compared without case, as Spark compares columns: ``id, ID`` -> ``id, ID_2``."""
+    taken: set[str] = {name.casefold() for name in names}
     count: dict[str, int] = {}
     out: list[str] = []
     for name in names:
-        count[name] = count.get(name, 0) + 1
+        key = name.casefold()
+        count[key] = count.get(key, 0) + 1
         fresh = name
-        if count[name] > 1:
-            fresh = f"{name}_{count[name]}"
-            while fresh in taken:
-                count[name] += 1
-                fresh = f"{name}_{count[name]}"
-            taken.add(fresh)
+        if count[key] > 1:
+            fresh = f"{name}_{count[key]}"
+            while fresh.casefold() in taken:
+                count[key] += 1
+                fresh = f"{name}_{count[key]}"
+            taken.add(fresh.casefold())
         out.append(fresh)
     return out

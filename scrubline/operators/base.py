@@ -14,6 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import cells
+
 
 @dataclass
 class Change:
@@ -79,7 +81,8 @@ def plan_step(df: DataFrame, tool: str, col: str | None = None,
 
 def apply_step(df: DataFrame, tool: str, col: str | None = None,
                params: dict | None = None, fitted: dict | None = None) -> DataFrame:
-    """``df`` after one step."""
+    """``df`` after one step; NaN cells are missing cells."""
+    df = cells.nan_to_null(df)
     return plan_step(df, tool, col, params, fitted).apply(df)
 
 

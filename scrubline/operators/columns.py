@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import cells, text
 from ..functions.cells import col as c_
-from ..functions.regex import (java_literal, java_pattern, java_replacement,
+from ..functions.regex import (check_replacement, java_literal, java_pattern, java_replacement,
                                plain_replacement)
 from .base import Change, step
 
@@ -66,6 +66,7 @@ def replace_values(df: DataFrame, col, params, fitted) -> Change:
     case = bool(params.get("match_case", True))
     old = cells.as_text(df, col)
     if params.get("regex"):
+        check_replacement(find, repl)
         new = F.regexp_replace(old, java_pattern(find, not case), java_replacement(repl))
     elif params.get("contains") and case:
         new = F.replace(old, F.lit(find), F.lit(repl))

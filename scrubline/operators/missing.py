@@ -140,5 +140,5 @@ def validate_rule(df: DataFrame, col, params, fitted) -> Change:
     bad = outside(cells.as_number(df, col), params.get("min"), params.get("max"))
     bad = F.coalesce(bad, F.lit(False))
     if "allowed" in params:
-        bad = bad | (c_(col).isNotNull() & ~c_(col).isin(list(params["allowed"])))
+        bad = bad | (c_(col).isNotNull() & ~cells.is_one_of(df, col, list(params["allowed"])))
     return Change(assign={f"{col}_invalid": bad}, flags={"rows_affected": bad})

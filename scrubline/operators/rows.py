@@ -87,7 +87,8 @@ def _number(value) -> float | None:
 
 def _one_condition(params: dict) -> None:
     known = ("equals", "contains", "regex", "is_null", "min", "max")
-    if not any(params.get(k) is not None and params.get(k) is not False for k in known):
+    given = [k for k in known if params.get(k) is not None]
+    if not given or (given == ["is_null"] and params["is_null"] is False):
         raise ValueError(f"no condition given; use one of {list(known)}")
     if "regex" in params:
         java_pattern(params["regex"])

@@ -57,7 +57,7 @@ def range_violation(df: DataFrame, col: str, rules: dict) -> Column:
 
 
 def allowed_violation(df: DataFrame, col: str, rules: dict) -> Column:
-    return c_(col).isNotNull() & ~c_(col).isin(list(rules["allowed"]))
+    return c_(col).isNotNull() & ~cells.is_one_of(df, col, list(rules["allowed"]))
 
 
 def regex_violation(df: DataFrame, col: str, rules: dict) -> Column:

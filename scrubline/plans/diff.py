@@ -73,17 +73,23 @@ def diff_summary(cells_changed: DataFrame) -> DataFrame:
     return cells_changed.groupBy("col").agg(F.count(F.lit(1)).alias("n_changed"))
 
 
-def patch_cells(df: DataFrame, edits: DataFrame, key: str) -> DataFrame:
+def patch_cells(df: DataFrame, edits: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """Apply ``(key, col, value)`` edits; an empty value clears the cell.
 
-    The edits are pivoted to one row per key, so the join adds no rows.  A
-    value that does not fit a number column clears nothing: the column turns
-    to text only if asked for by casting it first.
+    The edits are pivoted to one row per key, so the join adds no rows.  Of
+    several edits of a cell the last by the column ``order`` wins, by value
+    without one.  A value that does not fit the column's type leaves the cell as
+    it is (:func:`rejected_edits` lists those); an edit of a column that is not
+    there raises ``ValueError``.
     """
     names = [c for c in df.columns if c != key]
+    stray = edits.filter(~F.col("col").isin(names)).select("col").first()
+    if stray:
+        raise ValueError(f"edit of an unknown column: {stray['col']}")
+    last = F.col(order) if order else F.lit(0)
     wide = edits.groupBy(F.col("key").alias("_k")).agg(*[
-        F.max(F.when(F.col("col") == c, F.struct(F.lit(True).alias("on"),
-                                                 F.col("value").alias("v")))).alias(f"_p{i}")
+        F.max(F.when(F.col("col") == c, F.struct(
+            last.alias("o"), F.lit(True).alias("on"), F.coalesce("value", F.lit("")).alias("v")))).alias(f"_p{i}")
         for i, c in enumerate(names)
     ])
     joined = df.join(broadcast_if_small(wide), c_(key).cast("string") == F.col("_k").cast("string"), "left")
@@ -93,11 +99,21 @@ def patch_cells(df: DataFrame, edits: DataFrame, key: str) -> DataFrame:
             out.append(c_(c))
             continue
         p = F.col(f"_p{names.index(c)}")
-        value = F.when(p["v"] != "", p["v"]).try_cast(df.schema[c].dataType)
-        out.append(F.when(p["on"], value).otherwise(c_(c)).alias(c))
+        value = p["v"].try_cast(df.schema[c].dataType)
+        out.append(F.when(p["v"] == "", F.lit(None)).when(value.isNotNull(), value)
+                   .otherwise(c_(c)).alias(c))
     return joined.select(*out)
 
 
+def rejected_edits(df: DataFrame, edits: DataFrame) -> DataFrame:
+    """The edits whose value does not fit their column, or names none."""
+    fits = F.lit(False)
+    for c in df.columns:
+        fits = fits | ((F.col("col") == c) & F.col("value").try_cast(df.schema[c].dataType).isNotNull())
+    return edits.filter(~(F.coalesce(fits, F.lit(False)) | (
+        F.col("col").isin(df.columns) & (F.coalesce("value", F.lit("")) == ""))))
+
+
 def delete_rows(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """``df`` without the rows whose key is listed in ``keys.key``."""
     listed = keys.select(F.col("key").alias("_k")).distinct()

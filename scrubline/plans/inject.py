@@ -132,7 +132,12 @@ def _dtype(df, col, i):
 
 
 def _outliers(df, col, i):
-    return (c_(col) * 100).cast(df.schema[col].dataType), c_(col)
+    dtype = df.schema[col].dataType
+    if isinstance(dtype, T.LongType):  # a number near the type's end stays as it is
+        return F.coalesce(F.try_multiply(c_(col), F.lit(100)), c_(col)), c_(col)
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType)):
+        return c_(col).cast("bigint") * 100, c_(col)  # the column widens
+    return (c_(col) * 100).cast(dtype), c_(col)
 
 
 def _whitespace(df, col, i):

@@ -216,7 +216,9 @@ def value_frequencies(df: DataFrame) -> DataFrame:
                   or isinstance(f.dataType, (T.DateType, T.TimestampType,
                                              T.TimestampNTZType))]:
         x = F.concat(F.lit("="), F.col("x"))
-        parts.append(_long(df, {n: c_(n).cast("string") for n in others})
+        floats = (T.FloatType, T.DoubleType)  # adding zero makes -0.0 and 0.0 one value
+        parts.append(_long(df, {n: (c_(n) + F.lit(0.0).cast(df.schema[n].dataType) if isinstance(
+            df.schema[n].dataType, floats) else c_(n)).cast("string") for n in others})
                      .filter("x is not null")
                      .select("col", x.alias("k"), x.alias("f")))
     if not parts:

@@ -70,7 +70,7 @@ class Feed:
         try:
             return process_file(spark, path, self)
         except Exception as exc:  # noqa: BLE001 - a broken file must not stop the feed
-            return (_name(path, self.landing), "quarantined", f"failed to process: {exc}"[:1000], None)
+            return (_name(path, self.landing), "quarantined", f"not processed, {type(exc).__name__}: {exc}", None)
 
 
 def _wanted():
@@ -89,18 +89,24 @@ def _name(path: str, landing: str) -> str:
     """The file's path below the landing folder, as one flat name."""
     full, root = unquote(urlparse(path).path), urlparse(landing).path.rstrip("/") + "/"
     inner = full[len(root):] if full.startswith(root) else posixpath.basename(full)
-    return inner.replace("/", "__")
+    return inner.replace("@", "@@").replace("/", "@-")
+
+
+def _stem(name: str) -> str:
+    """Output name of a file: no two files of a folder share one."""
+    stem, suffix = posixpath.splitext(name)
+    return stem if suffix == ".csv" else f"{stem}@{suffix}"
 
 
 def process_file(spark: SparkSession, path: str, feed: Feed) -> tuple:
     """Clean one file: ``(file, status, reason, rows)``."""
     name = _name(path, feed.landing)
-    stem = posixpath.splitext(name)[0]
+    stem = _stem(name)
     df = read_path(spark, unquote(path))
     try:
         check_steps(feed.steps, df.columns, allow=True)
     except ValueError as exc:
-        return (name, "quarantined", f"recipe does not fit this file: {exc}", None)
+        return (name, "quarantined", f"the steps need other columns: {exc}", None)
     source = stage(df, "feed")  # the file is parsed once, all passes read columns
     run = run_recipe(source, feed.steps)
     cleaned = stage(run.df, "feed")
@@ -109,13 +115,13 @@ def process_file(spark: SparkSession, path: str, feed: Feed) -> tuple:
         rows = cleaned.count()
         verdicts = verify_profiles(before, profile(cleaned))
         n_open = verdicts.filter(F.col("verdict").isin(OPEN_VERDICTS)).count()
-        reason = f"{n_open} issue(s) unresolved after cleaning" if n_open else None
+        reason = f"verdicts still open: {n_open}" if n_open else None
         if reason is None and feed.contract is not None:
             broken = validate(cleaned, feed.contract).filter("not passed").orderBy(
                 "rule", "col").collect()
             if broken:
-                reason = "contract violations after cleaning: " + "; ".join(
-                    f"{r['rule']}({r['col'] or 'table'}): {r['violations']}" for r in broken)
+                reason = "broken rules: " + ", ".join(
+                    f"{r['rule']} of {r['col'] or 'the table'} ({r['violations']})" for r in broken)
         folder = f"{feed.quarantine}/{stem}_attempt" if reason else f"{feed.out}/{stem}_cleaned"
         write_csv(cleaned, f"{folder}.csv", "overwrite")
         return (name, "quarantined" if reason else "cleaned", reason, rows)

@@ -148,9 +148,9 @@ def test_feed(spark, tmp_path):
     log = {r.file: r for r in feed_log(spark, feed.log).collect()}
     assert set(log) == {"good.csv", "other schema.csv", "breach.csv", "broken.parquet"}
     assert log["good.csv"].status == "cleaned" and log["good.csv"].rows == 40
-    assert "recipe does not fit" in log["other schema.csv"].reason
-    assert log["breach.csv"].reason == "contract violations after cleaning: range(age): 8"
-    assert "failed to process" in log["broken.parquet"].reason
+    assert "steps need other columns" in log["other schema.csv"].reason
+    assert log["breach.csv"].reason == "broken rules: range of age (8)"
+    assert "not processed" in log["broken.parquet"].reason
     cleaned = read_csv(spark, f"{feed.out}/good_cleaned.csv", infer=False)
     assert cleaned.filter("phone like '+639%'").count() == 40
     assert os.path.isdir(tmp_path / "quarantine" / "breach_attempt.csv")

@@ -163,3 +163,9 @@ def test_snake_expression_equals_function(spark):
     assert [r[0] for r in df.select(snake(F.col("n"))).collect()] == [
         snake_case(n) for n in names]
     assert suggest.VALUES
+
+
+def test_names_differ_without_case():
+    from scrubline.functions.text import distinct_names
+
+    assert distinct_names(["id", "ID", "Id_2"]) == ["id", "ID_3", "Id_2"]
