@@ -2,12 +2,21 @@
 
 The vocabulary is that of an existing tokenizer.  A token's probability is the
 sum over all its segmentations into pieces of the product of the pieces'
-probabilities, worked out by a forward recursion in log space; a text's is the
-product over its tokens and one end.  Pieces start with weights from the
-vocabulary's own scores (ranks r weigh 1 / (r + 10)) and are fitted to the
-training tokens by ``ROUNDS`` of expectation and maximisation over the whole
-table of distinct training tokens; every single byte is a piece, so any text
-has a positive probability.
+probabilities, worked out by a forward recursion in log space.  A text's is the
+marginal over its own, unknown shares of tokens, which vary around the lattice's
+(a Dirichlet distribution of weight ``CONCENTRATION``), since a text repeats its
+words: of n tokens, the k-th repeat of one of lattice probability q has the
+factor (CONCENTRATION * q + k) / (CONCENTRATION + tokens before).  The order of
+tokens does not matter; one end follows, independent of them.  Pieces start with weights from the
+vocabulary's own scores (ranks r weigh 1 / (r + 10)) and are fitted by ``ROUNDS``
+of expectation and maximisation over the whole table of distinct training
+tokens; every single byte is a piece, so any text has a positive probability.
+
+A training token is one more arc of its own lattice, from its first byte to its
+last: it weighs its count less a discount, over all training tokens.  What the
+discounts set free is the share of the pieces, which are fitted to these
+discounts, so that they describe rare and new tokens.  The discounts for counts
+of 1, 2 and more follow from the numbers of tokens of count 1 to 4.
 
 Token counts are pre-aggregated in each task, summed by shuffle and written to
 the shared folder.  For the texts, tokens whose count falls in the topmost
@@ -37,6 +46,8 @@ from .common import table, tokens_of
 ALPHA = 0.1
 ROUNDS = 2
 SMOOTHING = 0.01
+#: How closely a text's token shares follow the corpus, in tokens.
+CONCENTRATION = 2_000.0
 COMMON = 250_000
 FLUSH = 150_000
 START = b" "  # stands for the mark that begins a word; no token holds a space
@@ -178,8 +189,39 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def fit_pieces(words: DataFrame, ends: int, model_file: str, rounds: int = ROUNDS) -> tuple:
-    """Pieces, their log probabilities, and the end's, from the training tokens."""
+def discounts_of(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
+    """What counts of 0, 1, 2 and more give to the pieces, by the numbers of
+    tokens of count 1 to 4; within a tenth and nine tenths of 1, 2 and 3."""
+    y = n1 / (n1 + 2 * n2) if n1 else 0.5
+    found = [k - (k + 1) * y * after / at if at else k / 2
+             for k, (at, after) in enumerate(((n1, n2), (n2, n3), (n3, n4)), 1)]
+    return np.array([0.0, *(min(max(d, 0.1 * k), 0.9 * k) for k, d in enumerate(found, 1))])
+
+
+def with_whole(pieces: np.ndarray, c: np.ndarray, discounts: np.ndarray, n: int, share: float) -> np.ndarray:
+    """Adds the arc over the whole token to the pieces' log probabilities."""
+    if not n:
+        return pieces
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log((c - discounts[np.minimum(c, 3)]) / n), pieces + math.log(share))
+
+
+def repeats(at: np.ndarray, logs: np.ndarray, mass: np.ndarray) -> float:
+    """Sum over the tokens ``at`` of a text of log10(mass + earlier occurrences)."""
+    if not len(at):
+        return 0.0
+    at = np.sort(at)
+    place = np.arange(len(at))
+    first = np.concatenate(([True], at[1:] != at[:-1]))
+    earlier = place - np.maximum.accumulate(np.where(first, place, 0))
+    again = ~first
+    return float(logs[at[first]].sum() + np.log10(mass[at[again]] + earlier[again]).sum())
+
+
+def fit_pieces(words: DataFrame, ends: float, model_file: str, discounts: np.ndarray,
+               rounds: int = ROUNDS) -> tuple:
+    """Pieces, their log probabilities, and the end's, from the training tokens,
+    each of which weighs its discount (``ends`` is that of the end)."""
     spelled = read_pieces(model_file)
     pieces = [p for p, _ in spelled]
     logs = np.log([w for _, w in spelled])
@@ -193,7 +235,7 @@ def fit_pieces(words: DataFrame, ends: int, model_file: str, rounds: int = ROUND
             counts = None
             for part in word_batches(batches):
                 lattice = lattice or Lattice(*shared.value)
-                weight = part["c"].to_numpy().astype(float)
+                weight = discounts[np.minimum(part["c"].to_numpy(), 3)]
                 counts = np.zeros(len(lattice.logs)) if counts is None else counts
                 tokens = part["word"].to_pylist()
                 for at, text in by_length(tokens):
@@ -224,10 +266,16 @@ def lattice_scores(docs: DataFrame, model_file: str, train_col: str, id_col: str
     counted = stage(count_tokens(rows.select("text", "train")), "tokens")
     ends = rows.where("train").count()
     sums = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"),
-                       F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+                       F.count(F.when(F.col("c") > 0, 1)).alias("v"),
+                       *(F.count(F.when(F.col("c") == k, 1)).alias(f"n{k}") for k in range(1, 5))).first()
     n, v = sums["n"] + ends, sums["v"] + (ends > 0)
     below = n + ALPHA * (v + 1)
-    pieces, logs, end_log = fit_pieces(counted, ends, model_file)
+    discounts = discounts_of(*(sums[f"n{k}"] for k in range(1, 5)))
+    end_discount = float(discounts[min(ends, 3)])
+    freed = end_discount + float(discounts[1:] @ [sums["n1"], sums["n2"], sums["v"] - sums["n1"] - sums["n2"]])
+    share = freed / n if n else 1.0
+    pieces, logs, end_log = fit_pieces(counted, end_discount, model_file, discounts)
+    end_log = float(with_whole(np.array([end_log]), np.array([ends]), discounts, n, share)[0])
     lattice_data = context.broadcast((pieces, logs))
 
     def score_words(batches):
@@ -237,6 +285,7 @@ def lattice_scores(docs: DataFrame, model_file: str, train_col: str, id_col: str
             out = np.zeros(len(part))
             for at, text in by_length(part["word"].to_pylist()):
                 out[at] = lattice.forward(text)[-1]
+            out = with_whole(out, part["c"].to_numpy(), discounts, n, share)
             yield from part.append_column("lp", pa.array(out / LN10)).to_batches()
 
     words = stage(counted.mapInArrow(score_words, "word binary, c long, lp double"), "tokens")
@@ -255,6 +304,10 @@ def lattice_scores(docs: DataFrame, model_file: str, train_col: str, id_col: str
     shared = context.broadcast((top["word"].to_pylist(), top["c"].to_numpy(), top["lp"].to_numpy()))
     end_base = math.log10(((ends if ends else 0) + ALPHA) / below)
     end_known, end_score = int(ends > 0), end_log / LN10
+    onward = math.log1p(-math.exp(end_log)) / LN10  # a token and no end
+    weight = CONCENTRATION
+    # log10(weight * q) is a token's log10 probability less this
+    lift = math.log10(weight) - onward
 
     def base_of(c):
         return np.log10((c + ALPHA) / below)
@@ -263,6 +316,8 @@ def lattice_scores(docs: DataFrame, model_file: str, train_col: str, id_col: str
         names, c, lp = shared.value
         place = dict(zip(names, range(len(names)), strict=True))
         base, known = base_of(c), c > 0
+        logs = lp + lift
+        mass = 10 ** logs
         for batch in batches:
             ids, digests, spelled, times, tokens, knowns, bases, scores = ([] for _ in range(8))
 
@@ -279,7 +334,8 @@ def lattice_scores(docs: DataFrame, model_file: str, train_col: str, id_col: str
                 # the head of a text: its spelling is no token, so it meets none
                 row(i, digest, b" %d %d" % (k, digest), 0, len(own) + 1,
                     int(known[where].sum()) + end_known, float(base[where].sum()) + end_base,
-                    float(lp[where].sum()) + end_score)
+                    repeats(where, logs, mass) + len(own) * onward + end_score
+                    - (math.lgamma(weight + len(own)) - math.lgamma(weight)) / LN10)
                 if len(where) < len(own):
                     for word, t in Counter([w for w, p in zip(own, at, strict=True) if p < 0]).items():
                         row(i, digest, word, t)
@@ -298,12 +354,16 @@ def lattice_scores(docs: DataFrame, model_file: str, train_col: str, id_col: str
     met = parts.join(words, "word", "left")
     head = F.col("t") == 0
     base = F.log10((F.col("c") + ALPHA) / F.lit(below))
+    first = F.col("lp") + lift
+    again = F.aggregate(F.sequence(F.lit(1), F.col("t") - 1), F.lit(0.0),
+                        lambda out, k: out + F.log10(F.pow(F.lit(10.0), first) + k))
+    score = F.when(F.col("t") == 1, first).otherwise(first + again)
     total = met.groupBy("id", "dg").agg(
         F.sum(head.cast("long")).alias("copies"),
         F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.when(head, F.col("n_known")).otherwise(F.col("t") * (F.col("c") > 0).cast("long"))).alias("n_known"),
         F.sum(F.when(head, F.col("base")).otherwise(F.col("t") * base)).alias("base"),
-        F.sum(F.when(head, F.col("score")).otherwise(F.col("t") * F.col("lp"))).alias("score"))
+        F.sum(F.when(head, F.col("score")).otherwise(score)).alias("score"))
     per = lambda name: (F.col(name) / F.col("copies"))
     return total.select(
         F.col("id").alias(id_col), per("n_tokens").cast("long").alias("n_tokens"),

@@ -146,6 +146,40 @@ def test_language_model_counts(spark, docs, odd, none, monkeypatch, common):
         assert all(math.isfinite(g[6]) and g[6] < 0 for g in got)
 
 
+def test_repeats_follow_the_sequential_rule():
+    rng = np.random.default_rng(3)
+    q = rng.dirichlet(np.ones(20))
+    for n in (0, 1, 2, 50):
+        at = rng.integers(0, 20, n)
+        want, seen = 0.0, Counter()
+        for k in at:
+            want += math.log10(op2.CONCENTRATION * q[k] + seen[k])
+            seen[k] += 1
+        got = op2.repeats(at, np.log10(op2.CONCENTRATION * q), op2.CONCENTRATION * q)
+        assert got == pytest.approx(want)
+
+
+def test_discounts_and_whole_tokens():
+    assert op2.discounts_of(0, 0, 0, 0) == pytest.approx([0, .5, 1, 1.5])
+    assert op2.discounts_of(100, 40, 20, 10) == pytest.approx([0, 1 - 2 * .4 * 5 / 9, 2 - 3 * .5 * 5 / 9, 3 - 4 * .5 * 5 / 9])
+    counts, pieces = np.array([0, 1, 2, 7]), np.log([.1, .2, .3, .4])
+    d = op2.discounts_of(100, 40, 20, 10)
+    share = d[np.minimum(counts, 3)].sum() / counts.sum()
+    got = np.exp(op2.with_whole(pieces, counts, d, int(counts.sum()), share))
+    assert got.sum() == pytest.approx(1)
+    assert got[0] == pytest.approx(.1 * share)
+
+
+def test_both_ways_to_look_tokens_up_agree(spark, monkeypatch):
+    model = tokenizers_files.path("piece_bpe_32k.model")
+    scores = []
+    for common in (250_000, 50):
+        monkeypatch.setattr(op2, "COMMON", common)
+        df = op2.table(spark, SF, "documents").withColumn("train", ~op2.held_out("doc_id"))
+        scores.append([r["score"] for r in op2.lattice_scores(df, model, "train").orderBy("doc_id").collect()])
+    assert scores[0] == pytest.approx(scores[1])
+
+
 def test_token_counts_equal_the_library(spark, docs, odd, none):
     import sentencepiece
 
