@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import apply_step
 from ..operators.categories import category_codes, decode_categories
+from ..plans.recipe import run_recipe
 from .q_columns import duck_fold, duck_strip
 from .registry import query
 from .views import view
@@ -152,6 +153,19 @@ def _(spark, sf):
         "order_id", "total_code")
 
 
+@query("encode_audit", uses=ORDERS, sql="""
+select total as k, dense_rank() over (order by total) as v, count(*) as n,
+       count(*) over () as n_categories
+from dirty_orders where total is not null group by total""")
+def _(spark, sf):
+    """The written mapping that an audit names, and the count it gives."""
+    run = run_recipe(view(spark, sf, "dirty_orders").select("total"),
+                     [{"tool": "encode_categories", "col": "total"}])
+    stats = run.audit().first()["stats"]
+    return spark.read.parquet(stats["mapping_table"]).withColumn(
+        "n_categories", F.lit(int(stats["n_categories"])).cast("bigint"))
+
+
 @query("encode_decode", uses=ORDERS, sql="""
 select order_id, priority, priority as decoded from dirty_orders""")
 def _(spark, sf):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
 from ..plans.profile import table_signals
 from ..session import new_folder
 from ..sources import (dedupe_column_names, for_each_table, read_csv, read_parquet,
@@ -40,6 +41,16 @@ def _(spark, sf):
     return read_csv(spark, path)
 
 
+@query("read_csv_text", sql=f"""
+select doc_id, case when text in ({", ".join(f"'{w}'" for w in P.NULL_WORDS)}) then null else text end as text
+from documents""")
+def _(spark, sf):
+    """Long texts with quotes and line breaks, there and back."""
+    path = new_folder(spark, "csv") + ".csv"
+    write_csv(table(spark, sf, "documents").select("doc_id", "text"), path)
+    return read_csv(spark, path)
+
+
 @query("read_parquet_table", sql="select * from part")
 def _(spark, sf):
     return read_parquet(spark, f"{sf}/part.parquet")

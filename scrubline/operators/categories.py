@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells
 from ..functions.cells import col as c_
-from ..session import small_table
+from ..session import small_table, stage
 from .base import Change, step
 from .lookup import Lookup, attach, build, ranked
 
@@ -59,7 +59,7 @@ def standardize_categories(df: DataFrame, col, params, fitted) -> Change:
     # A given mapping counts every cell it names, an automatic one only those
     # that are not in the chosen spelling yet.
     hit = c_(_OUT).isNotNull() if params.get("mapping") else cells.changed(old, new)
-    stats = {"mapping_size": len(lookup.rows)} if lookup.small else {}
+    stats = {"mapping_size": lookup.size}
     return Change(assign={col: new}, base=base, helpers=[_OUT],
                   flags={"rows_affected": hit}, stats=stats)
 
@@ -71,7 +71,11 @@ def _category_order(params: dict) -> None:
 
 def category_codes(df: DataFrame, name: str, order: str = "sorted", start: int = 1,
                    order_by: str | None = None) -> Lookup:
-    """``(k, v, n)``: category text, its code, rows."""
+    """``(k, v, n)``: category text, its code, rows.
+
+    Written as a table at every size.  Categories whose ``order_by`` is always
+    null come last.
+    """
     first = F.min(c_(order_by)) if order_by else F.lit(None)
     found = (df.filter(c_(name).isNotNull())
              .groupBy(cells.as_text(df, name).alias("k"))
@@ -82,18 +86,8 @@ def category_codes(df: DataFrame, name: str, order: str = "sorted", start: int =
         found, keys = found.drop("first"), ["-n", "k"]
     else:
         keys = ["first", "k"]
-    found = found.withColumn("v", F.lit(0).cast("bigint"))
-    lookup = build(found)
-    if not lookup.small:
-        sort = [F.desc("n") if k == "-n" else F.asc(k) for k in keys]
-        return Lookup(ranked(lookup.table.drop("v"), sort, start), None)
-
-    def place(r: Row):
-        return tuple(-r["n"] if k == "-n" else r[k] for k in keys)
-
-    rows = [Row(k=r["k"], v=i, n=r["n"])
-            for i, r in enumerate(sorted(lookup.rows, key=place), start)]
-    return Lookup(found.select("k", "v", "n"), rows)
+    sort = [F.desc("n") if k == "-n" else F.asc_nulls_last(k) for k in keys]
+    return build(stage(ranked(found, sort, start).select("k", "v", "n"), "codes"), written=True)
 
 
 def _fit_encode(df: DataFrame, col, params) -> dict:
@@ -111,14 +105,17 @@ def encode_categories(df: DataFrame, col, params, fitted) -> Change:
     target = f"{col}_code" if params.get("new_column") else col
     lookup = fitted["lookup"]
     base = attach(df, cells.as_text(df, col), lookup, _OUT)
-    stats = {"target": target}
-    if lookup.small:
-        stats |= {"n_categories": len(lookup.rows),
-                  "mapping": {r["k"]: r["v"] for r in lookup.rows}}
+    stats = {"target": target, "n_categories": lookup.size,
+             "mapping_table": mapping_path(lookup)}
     return Change(assign={target: c_(_OUT)}, base=base, helpers=[_OUT],
                   flags={"rows_affected": c_(col).isNotNull()}, stats=stats)
 
 
+def mapping_path(lookup: Lookup) -> str:
+    """The folder of the written mapping ``k, v, n``."""
+    return lookup.table.inputFiles()[0].rsplit("/", 1)[0]
+
+
 def decode_categories(df: DataFrame, col: str, lookup: Lookup, target: str) -> DataFrame:
     """Codes back to the category text of the mapping that made them."""
     back = lookup.table.select(F.col("v").cast("string").alias("k"),

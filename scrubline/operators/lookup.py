@@ -9,6 +9,7 @@ taken out first.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -30,6 +31,11 @@ class Lookup:
     def small(self) -> bool:
         return self.rows is not None
 
+    @cached_property
+    def size(self) -> int:
+        """Entries, whatever their number."""
+        return len(self.rows) if self.small else self.table.count()
+
 
 def bounded_rows(table: DataFrame) -> list[Row] | None:
     """The mapping's rows if few and short, else None.
@@ -49,11 +55,11 @@ def bounded_rows(table: DataFrame) -> list[Row] | None:
     return rows
 
 
-def build(table: DataFrame) -> Lookup:
-    """Size the mapping; a large one is written once so that the joins below
-    read it instead of computing it again."""
+def build(table: DataFrame, written: bool = False) -> Lookup:
+    """Size the mapping; a large one is written once, unless it was already, so
+    that the joins below read it instead of computing it again."""
     rows = bounded_rows(table)
-    return Lookup(table, rows) if rows is not None else Lookup(stage(table, "lookup"), None)
+    return Lookup(table if written or rows is not None else stage(table, "lookup"), rows)
 
 
 def attach(df: DataFrame, key: Column, lookup: Lookup, out: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import posixpath
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,9 +23,22 @@ def dedupe_column_names(df: DataFrame) -> DataFrame:
     return df if names == df.columns else df.toDF(*names)
 
 
-def _header(spark: SparkSession, path: str) -> list[str]:
+def _header(reader: DataFrameReader, path: str) -> list[str]:
     """Column names of a CSV file as they stand, before Spark renames repeats."""
-    return spark.read.option("header", False).csv(path).first().asDict().values()
+    return reader.option("header", False).csv(path).first().asDict().values()
+
+
+def _has_line_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted cell goes on after its line: only then does a line hold
+    an odd number of quotes, since those inside a cell are doubled."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def _csv(spark: SparkSession, path: str) -> DataFrameReader:
+    """Files are split among tasks unless a cell of theirs holds a line break."""
+    return (spark.read.option("multiLine", _has_line_breaks(spark, path))
+            .option("escape", '"').option("nullValue", ""))
 
 
 def read_csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
@@ -35,10 +48,10 @@ def read_csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
     Types are inferred in one aggregate over all columns: a column is whole
     numbers, numbers or booleans if every filled cell is.
     """
-    raw = (spark.read.option("header", True).option("multiLine", False)
-           .option("escape", '"').option("nullValue", "").csv(path))
+    reader = _csv(spark, path)
     names = distinct_names([n if n is not None else f"_c{i}"
-                            for i, n in enumerate(_header(spark, path))])
+                            for i, n in enumerate(_header(reader, path))])
+    raw = reader.option("header", True).csv(path)
     df = raw.toDF(*names)
     df = df.select(*[F.when(~c_(n).isin(P.NULL_WORDS), c_(n)).alias(n) for n in names])
     return infer_types(df) if infer else df

@@ -161,6 +161,14 @@ def test_feed(spark, tmp_path):
     assert sorted(names) == sorted([*log, "later.csv"])
 
 
+def test_csv_keeps_line_breaks(spark, tmp_path):
+    rows = [(1, 'a\nb "c"\n\n'), (2, "c"), (3, 'x, "y"'), (4, '"'), (5, "\n")]
+    for part in (rows, rows[1:3]):
+        path = f"file:{tmp_path}/lines{len(part)}.csv"
+        write_csv(spark.createDataFrame(part, "i bigint, t string"), path)
+        assert sorted(map(tuple, read_csv(spark, path).collect())) == part
+
+
 def test_csv_keeps_margins(spark, tmp_path):
     df = view(spark, SF, "dirty_customers")
     write_csv(df, f"file:{tmp_path}/c")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scrubline.catalog.views import view
 from scrubline.operators import apply_step, categories, lookup
 from scrubline.operators.quantiles import exact_quantiles
+from scrubline.plans.recipe import run_recipe
 
 
 def skewed(kind):
@@ -69,6 +70,29 @@ def test_large_codes_equal_small(column, monkeypatch, order):
     assert values(apply_step(df, "encode_categories", "c", params)) == small
 
 
+def test_audit_of_a_large_mapping_equals_a_small(column, monkeypatch):
+    df = column(words())
+    steps = [{"tool": "standardize_categories", "col": "c"},
+             {"tool": "encode_categories", "col": "c", "params": {"order": "appearance", "order_by": "i"}}]
+    found = []
+    for most in (10_000, 5):
+        monkeypatch.setattr(lookup, "MAX_ROWS", most)
+        one, two = (r["stats"] for r in run_recipe(df, steps).audit().collect())
+        mapping = df.sparkSession.read.parquet(two.pop("mapping_table"))
+        found.append((one, two, sorted(mapping.collect())))
+    assert found[0] == found[1] and int(found[0][1]["n_categories"]) == len(found[0][2])
+
+
+def test_categories_never_ordered_come_last(spark, monkeypatch):
+    df = spark.createDataFrame([("a", None), ("b", 2), ("c", 1), ("b", None), (None, 0)], "c string, i int")
+    for most in (10_000, 1):
+        monkeypatch.setattr(lookup, "MAX_ROWS", most)
+        codes = categories.category_codes(df, "c", "appearance", 1, "i")
+        assert {r["k"]: r["v"] for r in codes.table.collect()} == {"c": 1, "b": 2, "a": 3}
+    none = categories.category_codes(df.limit(0), "c")
+    assert none.size == 0 and categories.mapping_path(none)
+
+
 def test_decode_of_a_large_mapping(column, tiny_limits):
     df = column(words())
     codes = categories.category_codes(df, "c")
