@@ -37,10 +37,11 @@ _BUCKETS = 1 << 40
 
 class HashPick:
     """About ``rate`` of the cells, by a hash of key, column and seed; at
-    least three, by letting in the smallest hashes of a small table."""
+    least ``least``, by letting in the smallest hashes of a small table (0
+    keeps the rate at every size)."""
 
-    def __init__(self, rate: float = 0.10, seed: int = 42):
-        self.rate, self.seed = rate, seed
+    def __init__(self, rate: float = 0.10, seed: int = 42, least: int = MIN_ERRORS):
+        self.rate, self.seed, self.least = rate, seed, least
 
     def _bucket(self, key: str, col: str, kind: str) -> Column:
         return F.pmod(F.xxhash64(c_(key).cast("string"), F.lit(f"{kind}/{col}/{self.seed}")),
@@ -48,7 +49,7 @@ class HashPick:
 
     def limit(self, df: DataFrame, key: str, col: str, kind: str) -> int:
         low = (df.filter(c_(col).isNotNull()).select(self._bucket(key, col, kind).alias("b"))
-               .orderBy("b").limit(MIN_ERRORS).agg(F.max("b")).first()[0])
+               .orderBy("b").limit(self.least).agg(F.max("b")).first()[0])
         return max(int(self.rate * _BUCKETS), (low or 0) + 1)
 
     def hit(self, key: str, col: str, kind: str, limit: int) -> Column:

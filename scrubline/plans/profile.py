@@ -32,7 +32,7 @@ from ..functions.text import distinct_names, non_ascii, snake_case
 from ..operators.missing import fences
 from ..operators.quantiles import quantiles
 from ..operators.rows import filled_cells
-from ..session import small_table
+from ..session import discard, small_table, stage
 
 SCHEMA = "col string, signal string, detail string, value double, text string"
 TOP = 5
@@ -375,7 +375,7 @@ def _value_rows(df: DataFrame, shape: list) -> list[tuple]:
     n_rows = next(r["value"] for r in shape if r["signal"] == "n_rows")
     filled = {r["col"]: r["value"] for r in shape if r["signal"] == "n_filled"}
     kinds, rows = cells.kinds(df), []
-    freq = value_frequencies(df).persist()
+    freq = stage(value_frequencies(df), "frequencies")
     try:
         distinct = {r["col"]: r for r in distinct_counts(freq).collect()}
         for name in df.columns:
@@ -393,7 +393,7 @@ def _value_rows(df: DataFrame, shape: list) -> list[tuple]:
         rows += [(r["col"], "top_value", str(r["rank"]), float(r["n"]), r["value"])
                  for r in top_values(df, freq, df.columns).collect()]
     finally:
-        freq.unpersist()
+        discard(freq)
     return rows
 
 
