@@ -445,3 +445,48 @@ def test_banded_pairs_are_verified(spark, odd):
         assert r["jaccard"] == pytest.approx(true) and true >= 0.75
     assert got
     assert op10.similar_pairs(odd).count() >= 1
+
+
+def classes_of(n, pairs):
+    """The components of ``n`` texts, each named by its least."""
+    head = list(range(n))
+
+    def find(x):
+        while head[x] != x:
+            x = head[x]
+        return x
+
+    for x, y in pairs:
+        a, b = sorted((find(x), find(y)))
+        head[b] = a
+    return [find(x) for x in range(n)]
+
+
+@pytest.mark.parametrize("block", [256, 7])
+def test_similar_texts_are_connected(spark, monkeypatch, block):
+    """Edited copies of one text, few of them similar to the least one of a bucket."""
+    monkeypatch.setattr(op10, "BLOCK", block, raising=False)
+    rng = np.random.default_rng(5)
+    family = []
+    for i in range(150):
+        words = [f"w{k}" for k in range(200)]
+        for k in rng.choice(200, rng.integers(2, 8), replace=False):
+            words[k] = f"v{i}x{k}"
+        family.append((i, " ".join(words)))
+    sets = [set(Shingler()(t).tolist()) for _, t in family]
+    want = classes_of(150, [(x, y) for x in range(150) for y in range(x) if len(
+        both := sets[x] & sets[y]) >= 0.75 * len(sets[x] | sets[y]) and both])
+    links = op10.similar_pairs(spark.createDataFrame(family, "doc_id long, text string")).collect()
+    assert all(r["jaccard"] >= 0.75 for r in links)
+    assert classes_of(150, [(r["a"], r["b"]) for r in links]) == want
+    assert max(Counter(want).values()) > 50 and len(set(want)) > 5
+
+
+def test_classes_of_odd_rows(spark, odd, none):
+    got = Counter((r["doc_id"], r["class_id"]) for r in op10.similar_classes(odd).collect())
+    assert got == Counter({(1, 1): 1, (2, 1): 2, (3, 3): 1, (4, 4): 1, (None, None): 1, (5, 5): 1, (6, 6): 1,
+                           (7, 7): 1, (8, 7): 1, (9, 9): 1, (10, 10): 1})
+    assert op10.similar_classes(none).count() == 0
+    texts = [(None, "a b c d e f"), (5, "a b c d e f"), (5, "x y z u v w"), (4, "x y z u v w")]
+    got = op10.similar_classes(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == Counter({(None, 5): 1, (5, 5): 1, (5, 4): 1, (4, 4): 1})
