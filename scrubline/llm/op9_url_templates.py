@@ -5,8 +5,11 @@ fits decides.  All other urls are judged by their template:
 
 1. From the root down, a segment stays literal under its host and parent
    template if it holds at least ``LEAST_ROWS`` rows and ``LEAST_SHARE`` of the
-   parent's; all other segments are one wildcard (with the file extension kept).
-   What lies deeper than ``DEPTH`` segments is one wildcard too.
+   parent's, or, however small its share, if at least ``LEAST_ROWS`` of its rows
+   are labelled and its share of good rows, or that of what continues it, differs
+   from the other small ones'.  All other segments are one wildcard (with the
+   file extension kept).  What lies deeper than ``DEPTH`` segments is one
+   wildcard too.
 2. A template's evidence is its labelled rows.  Sibling templates (same host,
    same parent) whose shares of good rows are within ``Z`` standard deviations
    of their parent's are merged and judged by their common share.
@@ -58,36 +61,81 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     return F.coalesce(*fits, F.lit(None).cast("struct<rule:string,verdict:string>"))
 
 
+def literals(rows: DataFrame, level: int) -> DataFrame:
+    """``host, template, seg`` of the segments of this level that stay literal."""
+    key = ["host", "template", "seg"]
+    counted = rows.where("seg is not null").groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), F.count("good").alias("known"))
+    wholes = counted.groupBy("host", "template").agg(F.sum("n").alias("all"))
+    enough = stage(counted.where(F.col("n") >= LEAST_ROWS).join(wholes, ["host", "template"]).withColumn(
+        "often", F.col("n") >= LEAST_SHARE * F.col("all")), "segments")
+    often = enough.where("often").select(key)
+    rare = enough.where(~F.col("often") & (F.col("known") >= LEAST_ROWS)).select(key)
+    return often if rare.isEmpty() else often.unionByName(differing(rows, often, rare, level))
+
+
+def differing(rows: DataFrame, often: DataFrame, rare: DataFrame, level: int) -> DataFrame:
+    """Those of the ``rare`` segments that the wildcard must not swallow.
+
+    The good rows of a segment, and of each continuation of it (its next segments,
+    from none to all), are compared with those of all segments in the wildcard.
+    What differs leaves the wildcard, and the rest is compared again until nothing
+    differs.  As many continuations are tried, the limit on theirs grows with
+    their number as the greatest of so many normal deviates does.
+    """
+    key, rest = ["host", "template", "seg"], ["k", "rest"]
+    asked = broadcast_if_small(stage(rare.select("host", "template").distinct(), "asked"))
+    wild = rows.where("seg is not null and good is not null").join(asked, ["host", "template"], "left_semi").join(
+        often, key, "left_anti")
+    tails = wild.withColumn("k", F.explode_outer(F.sequence(F.lit(0), F.size("parts") - level - 1))).withColumn(
+        "rest", F.xxhash64(F.slice("parts", F.lit(level + 2), F.col("k"))))
+    own = stage(tails.groupBy(*key, *rest).agg(F.count("good").alias("n"), F.sum("good").alias("g")), "tails")
+    tried = own.where(F.col("n") >= LEAST_ROWS).join(rare, key, "left_semi")
+    tried = stage(tried.join(tried.groupBy(key).agg(F.count(F.lit(1)).alias("m")), key), "tried")
+    found = None
+    while True:
+        left, trying = (own, tried) if found is None else (
+            own.join(found, key, "left_anti"), tried.join(found, key, "left_anti"))
+        pool = left.groupBy("host", "template", *rest).agg(F.sum("n").alias("pn"), F.sum("g").alias("pg"))
+        share = F.col("pg") / F.col("pn")
+        spread = F.sqrt(F.greatest(F.col("n") * share * (1 - share), F.lit(0.25)))
+        limit = F.sqrt(Z * Z + F.when(F.col("k") > 0, 2 * F.log("m")).otherwise(0.0))
+        more = stage(trying.join(pool, ["host", "template", *rest]).where(
+            F.abs(F.col("g") - F.col("n") * share) > limit * spread).select(key).distinct(), "differing")
+        if more.isEmpty():
+            return rare.limit(0) if found is None else found
+        found = more if found is None else stage(found.unionByName(more), "differing")
+
+
 def templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``page_id, host, path, parent, template`` from ``page_id, host, path``."""
+    """``page_id, host, path, good, parent, template`` from ``page_id, host, path, good``."""
     parts = F.split(F.ltrim(F.col("path"), F.lit("/")), "/")
     rows = urls.withColumn("parts", parts).withColumn("parent", F.lit("")).withColumn("template", F.lit(""))
     for level in range(depth):
-        at = F.get("parts", F.lit(level))
-        rows = rows.withColumn("seg", at)
-        counted = rows.where("seg is not null").groupBy("host", "template", "seg").agg(F.count(F.lit(1)).alias("n"))
-        wholes = counted.groupBy("host", "template").agg(F.sum("n").alias("all"))
-        literal = counted.where(F.col("n") >= LEAST_ROWS).join(wholes, ["host", "template"]).where(
-            F.col("n") >= LEAST_SHARE * F.col("all")).select(
-            "host", "template", "seg", F.lit(True).alias("literal"))
-        rows = rows.join(broadcast_if_small(stage(literal, "literals")), ["host", "template", "seg"], "left")
-        wild = F.concat(F.lit("*"), F.regexp_extract("seg", r"(\.[A-Za-z0-9]{1,5})$", 1))
-        name = F.when(F.col("literal"), F.col("seg")).when(F.col("seg") == "", "").otherwise(wild)
-        rows = rows.withColumn("parent", F.when(F.col("seg").isNull(), F.col("parent")).otherwise(F.col("template"))
-                               ).withColumn("template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(
-                                   F.concat("template", F.lit("/"), name))).drop("literal", "seg")
+        rows = grow(rows, level)
     deeper = F.size("parts") > depth
     return rows.select(
-        "page_id", "host", "path",
+        "page_id", "host", "path", "good",
         F.when(deeper, F.col("template")).otherwise(F.col("parent")).alias("parent"),
         F.when(deeper, F.concat("template", F.lit("/**"))).otherwise(F.col("template")).alias("template"))
 
 
-def purities(rows: DataFrame, labels: DataFrame) -> DataFrame:
+def grow(rows: DataFrame, level: int) -> DataFrame:
+    """The rows with their templates one segment longer."""
+    rows = rows.withColumn("seg", F.get("parts", F.lit(level)))
+    literal = broadcast_if_small(stage(literals(rows, level).withColumn("literal", F.lit(True)), "literals"))
+    rows = rows.join(literal, ["host", "template", "seg"], "left")
+    wild = F.concat(F.lit("*"), F.regexp_extract("seg", r"(\.[A-Za-z0-9]{1,5})$", 1))
+    name = F.when(F.col("literal"), F.col("seg")).when(F.col("seg") == "", "").otherwise(wild)
+    return rows.withColumn("parent", F.when(F.col("seg").isNull(), F.col("parent")).otherwise(F.col("template"))
+                           ).withColumn("template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(
+                               F.concat("template", F.lit("/"), name))).drop("literal", "seg")
+
+
+def purities(rows: DataFrame) -> DataFrame:
     """``host, parent, template, merged, purity`` of every template; ``rows`` has
-    page_id and templates, ``labels`` has page_id and good (0 or 1)."""
-    known = rows.join(labels, "page_id", "left")
-    own = known.groupBy("host", "parent", "template").agg(
+    templates and good (0, 1 or, where not known, null)."""
+    own = rows.groupBy("host", "parent", "template").agg(
         F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("g"))
     own = stage(own, "templates")
     every = own.agg(F.coalesce(F.sum("g") / F.nullif(F.sum("n"), F.lit(0)), F.lit(1.0)).alias("p")).first()["p"]
@@ -112,9 +160,10 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     rules = RULES if rules is None else rules
     urls = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"),
                         path_of(F.col(url_col)).alias("path"))
-    rows = stage(templates(urls), "urls")
     good = labels.where("good is not null").groupBy("page_id").agg(F.min("good").alias("good"))
-    pure = broadcast_if_small(stage(purities(rows, good), "purities"))
+    known = stage(urls.join(good, "page_id", "left"), "known")
+    rows = stage(templates(known), "urls")
+    pure = broadcast_if_small(stage(purities(rows), "purities"))
     fit = rule_of(F.col("host"), F.col("path"), rules)
     return rows.join(pure, ["host", "parent", "template"], "left").withColumn("fit", fit).select(
         F.col("page_id").alias(id_col), "host", "path", F.col("fit.rule").alias("rule"),

@@ -412,6 +412,35 @@ def test_bad_templates_are_rejected(spark):
         ("a.example.org/spam/*.html", "block"), ("a.example.org/news/*.html", "allow")}
 
 
+def verdicts(spark, rows):
+    """The verdicts of each section of (section, path, good), a page each."""
+    pages = [(i, f"http://a.example.org{path}") for i, (_, path, _) in enumerate(rows)]
+    labels = [(i, good) for i, (_, _, good) in enumerate(rows) if good is not None]
+    got = op9.judge(spark.createDataFrame(pages, "page_id long, url string"),
+                    spark.createDataFrame(labels, "page_id long, good int"))
+    found = defaultdict(set)
+    for r in got.collect():
+        found[rows[r["page_id"]][0]].add(r["verdict"])
+    return dict(found)
+
+
+def test_small_sections_of_a_large_host(spark):
+    """100 sections of 1 % each; five are bad, and one is good in half its branches."""
+    rows = [(f"s{s}" if s < 5 else "good", f"/s{s}/{k}.html", int(s >= 5)) for s in range(99) for k in range(40)]
+    rows += [(b, f"/mixed/{b}/{k}", int(b == "news")) for b in ("news", "casino") for k in range(30)]
+    rows += [("few", f"/few{k}/{k}.html", 1) for k in range(50)]
+    assert verdicts(spark, rows) == {
+        **{f"s{s}": {"block"} for s in range(5)}, "good": {"allow"}, "news": {"allow"}, "casino": {"block"}, "few": {"allow"}}
+    # as many good as bad rows in every section, but not in the same branches
+    rows = [(f"{b}{(s + b) % 2}", f"/s{s}/b{b}/{k}", (s + b) % 2) for s in range(60) for b in (0, 1) for k in range(20)]
+    assert verdicts(spark, rows) == {"00": {"block"}, "01": {"allow"}, "10": {"block"}, "11": {"allow"}}
+
+
+def test_variable_segments_stay_pooled(spark):
+    rows = [(b, f"/user/u{u}/{b}/{k}", int(b == "photos")) for u in range(80) for b in ("photos", "pills") for k in range(4)]
+    assert verdicts(spark, rows) == {"photos": {"allow"}, "pills": {"block"}}
+
+
 def test_edits_follow_the_next_document(spark, docs, odd, none):
     got = {r["doc_id"]: r for r in op10.op10_fingerprints(spark, SF).collect()}
     prints = {}
