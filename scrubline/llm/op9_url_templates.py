@@ -8,8 +8,10 @@ fits decides.  All other urls are judged by their template:
    parent's, or, however small its share, if at least ``LEAST_ROWS`` of its rows
    are labelled and its share of good rows, or that of what continues it, differs
    from the other small ones'.  All other segments are one wildcard (with the
-   file extension kept).  What lies deeper than ``DEPTH`` segments is one
-   wildcard too.
+   file extension kept).  The tree grows by ``DEPTH`` segments, and from there
+   on below every template that has ``LEAST_ROWS`` deeper rows and both good and
+   bad ones among them: each level is a few jobs over the rows that are left.
+   Below the others it makes no difference, and what lies there is one wildcard.
 2. A template's evidence is its labelled rows.  Sibling templates (same host,
    same parent) whose shares of good rows are within ``Z`` standard deviations
    of their parent's are merged and judged by their common share.
@@ -29,6 +31,8 @@ none is known: allowed.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,11 +117,25 @@ def templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
     rows = urls.withColumn("parts", parts).withColumn("parent", F.lit("")).withColumn("template", F.lit(""))
     for level in range(depth):
         rows = grow(rows, level)
-    deeper = F.size("parts") > depth
-    return rows.select(
-        "page_id", "host", "path", "good",
-        F.when(deeper, F.col("template")).otherwise(F.col("parent")).alias("parent"),
-        F.when(deeper, F.concat("template", F.lit("/**"))).otherwise(F.col("template")).alias("template"))
+    done = []
+    while True:
+        rows = stage(rows, "level")
+        deeper = F.size("parts") > depth
+        mixed = rows.where(deeper).groupBy("host", "template").agg(
+            F.count(F.lit(1)).alias("n"), F.count("good").alias("known"), F.sum("good").alias("g")).where(
+            (F.col("n") >= LEAST_ROWS) & (F.col("g") > 0) & (F.col("g") < F.col("known"))).select(
+            "host", "template", F.lit(True).alias("mixed"))
+        mixed = broadcast_if_small(stage(mixed, "mixed"))
+        marked = rows.join(mixed, ["host", "template"], "left").withColumn(
+            "mixed", deeper & F.col("mixed").isNotNull())
+        done.append(marked.where(~F.col("mixed")).select(
+            "page_id", "host", "path", "good",
+            F.when(deeper, F.col("template")).otherwise(F.col("parent")).alias("parent"),
+            F.when(deeper, F.concat("template", F.lit("/**"))).otherwise(F.col("template")).alias("template")))
+        if mixed.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        rows = grow(marked.where("mixed").drop("mixed"), depth)
+        depth += 1
 
 
 def grow(rows: DataFrame, level: int) -> DataFrame:

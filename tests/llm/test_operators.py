@@ -441,6 +441,17 @@ def test_variable_segments_stay_pooled(spark):
     assert verdicts(spark, rows) == {"photos": {"allow"}, "pills": {"block"}}
 
 
+def test_deep_branches(spark):
+    """Branches that differ from the fourth and from the seventh segment on, below a wildcard too."""
+    rows = [(b, f"/2024/05/12/{b}/{k}.html", int(b == "news")) for b in ("news", "spam") for k in range(40)]
+    rows += [(f"user {b}", f"/u/en/{u}/x/{k}/{b}/{u}", int(b == "photos"))
+             for u in range(40) for k in (0, 1) for b in ("photos", "pills")]
+    rows += [("pure", f"/shop/de/cat/{k}/{k}/{k}", 1) for k in range(30)] + [("unknown", "/a/b/c/d/e/f", None)] * 9
+    assert verdicts(spark, rows) == {
+        "news": {"allow"}, "spam": {"block"}, "user photos": {"allow"}, "user pills": {"block"},
+        "pure": {"allow"}, "unknown": {"allow"}}
+
+
 def test_edits_follow_the_next_document(spark, docs, odd, none):
     got = {r["doc_id"]: r for r in op10.op10_fingerprints(spark, SF).collect()}
     prints = {}
