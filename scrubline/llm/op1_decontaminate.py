@@ -10,8 +10,8 @@ with all documents.
 
 Documents without words, or without any hit, have zero counts.  Rows that repeat
 a document come back as often as they stand.  Benchmark items with the same id
-count once; an item or document whose text is null has no words.  Other columns
-are left out (``remove_contaminated`` keeps them).
+count once, those without an id too, which the digest leaves out; an item or
+document whose text is null has no words.  Other columns are left out (``remove_contaminated`` keeps them).
 """
 
 from __future__ import annotations
@@ -49,7 +49,9 @@ def benchmark_windows(benchmark: DataFrame, size: int = WINDOW, item_col: str =
     last = F.greatest(F.size("words") - size, F.lit(0))
     windows = items.select("item", F.explode_outer(F.transform(
         F.sequence(F.lit(1), last + 1), lambda i: F.slice("words", i, size))).alias("window"))
-    return windows.groupBy("window").agg(F.collect_set("item").alias("items")).select(
+    # in structs, as sets leave nulls out
+    own = F.transform(F.collect_set(F.struct("item")), lambda s: s["item"])
+    return windows.groupBy("window").agg(own.alias("items")).select(
         F.xxhash64(*[F.get("window", F.lit(k)) for k in range(size)]).alias("h"),
         F.size("window").alias("len"), "window", "items")
 
@@ -112,14 +114,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
         F.aggregate(F.array_sort("spans"), start, cover, lambda s: s["hit"]).cast("long").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
-        (F.size("items") > 0).alias("contaminated"),
+        (F.size("spans") > 0).alias("contaminated"),
         F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
                         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, with all their columns, that hold no window."""
-    hit = find_hits(docs, benchmark, size, id_col, text_col).where(F.size("items") > 0)
+    hit = find_hits(docs, benchmark, size, id_col, text_col).where(F.size("spans") > 0)
     bad = broadcast_if_small(stage(hit.select(
         F.col("id").alias("_id"), F.col("dg").alias("_dg")), "contaminated"))
     same = F.col("_id").eqNullSafe(docs[id_col]) & (F.col("_dg") == F.xxhash64(docs[text_col]))

@@ -85,6 +85,18 @@ def test_decontamination_of_odd_rows(spark, odd, none):
     assert op1.decontaminate(odd, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_benchmark_items_without_an_id(spark):
+    docs = spark.createDataFrame([(1, "a one two three b"), (2, "four five"), (3, "four one two three"), (4, "six")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "one two three"), (None, "three b"), ("x", "four")], "item_id string, text string")
+    c = duckdb.connect()
+    c.register("documents", docs.toPandas()), c.register("benchmark", bench.toPandas())
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    want = c.sql(op1.OP1_SQL).select(*names).order("doc_id").fetchall()
+    assert rows(op1.decontaminate(docs, bench).select(*names)) == want
+    assert [(w[0], w[2], w[3], w[5]) for w in want] == [(1, 4, 1, True), (2, 1, 1, True), (3, 4, 2, True), (4, 0, 0, False)]
+    assert [r["doc_id"] for r in op1.remove_contaminated(docs, bench).collect()] == [4]
+
+
 def test_benchmark_in_blocks(spark, odd, monkeypatch):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
