@@ -236,19 +236,28 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document, with all its columns, of each component; documents without
-    shingles all stay.  Of rows that repeat id and text one stays."""
-    found = stage(classify(df, id_col, text_col).select("id", "dg", "kept"), "classified")
-    gone = broadcast_if_small(stage(found.where(~F.col("kept")).select(
+    """One document, with all its columns, of each component, the one of the least
+    id (null ids last) and then the least digest; documents without shingles all
+    stay.  Of rows that repeat id and text one stays."""
+    found = stage(classify(df, id_col, text_col).select("id", "dg", "root"), "classified")
+    order = F.struct(F.col("id").isNull(), "id", "dg")
+    least = found.where("root is not null").groupBy("root").agg(
+        F.min(order).alias("least"), F.max(order).alias("most")).where("least <> most").select(
+        "root", F.col("least.id").alias("_id"), F.col("least.dg").alias("_dg"))
+    least = broadcast_if_small(stage(least, "kept"))
+    gone = broadcast_if_small(stage(found.join(least, "root").where(
+        ~(F.col("id").eqNullSafe(F.col("_id")) & (F.col("dg") == F.col("_dg")))).select(
         F.col("id").alias("_id"), F.col("dg").alias("_dg")).distinct(), "removed"))
     same = F.col("_id").eqNullSafe(df[id_col]) & (F.col("_dg") == F.xxhash64(df[text_col]))
     left = df.join(gone, same, "left_anti")
-    repeated = found.where("kept").groupBy("id", "dg").count().where("count > 1")
+    repeated = found.groupBy("id", "dg").count().where("count > 1").join(
+        gone, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_dg") == F.col("dg")), "left_anti")
     return left if repeated.isEmpty() else left.dropDuplicates([id_col, text_col])
 
 
 def classify(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, dg, n_shingles, component_id and kept of every row."""
+    """id, dg, n_shingles, component_id, root (the component's own name; null
+    without shingles) and kept of every row."""
     signed = stage(signatures(df, id_col, text_col), "signatures")
     classes = stage(signed.where("node is not null").groupBy("node").agg(
         F.min("id").alias("low"), F.first("n").alias("n"), F.first("bands").alias("bands"),
@@ -288,11 +297,12 @@ def classify(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rooted = classes.select("node", "low").join(roots, "node", "left").withColumn(
         "root", F.coalesce("root", "node"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    found = rooted.join(lows, "root").select("node", "component_id")
+    found = rooted.join(lows, "root").select("node", "component_id", "root")
     alone = signed.where("node is null").select(
-        "id", "dg", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+        "id", "dg", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"),
+        F.lit(None).cast("binary").alias("root"))
     linked = signed.where("node is not null").join(found, "node").select(
-        "id", "dg", F.col("n").alias("n_shingles"), "component_id")
+        "id", "dg", F.col("n").alias("n_shingles"), "component_id", "root")
     return linked.unionByName(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 

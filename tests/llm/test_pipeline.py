@@ -37,3 +37,18 @@ def test_empty_documents(spark):
     for name, function in corpus_pipeline.STAGES:
         docs = stage(function(spark, docs, SF), name)
     assert docs.count() == 0
+
+
+def test_one_document_of_each_group(spark):
+    """Near copies without ids, and under one repeated id that is the least."""
+    words = [f"w{k}" for k in range(300)]
+
+    def copies(mark, ids):
+        return [(i, " ".join([mark, *words[:k], f"{mark}{k}", *words[k + 1:]])) for k, i in enumerate(ids, 5)]
+
+    other = [(9, "another text without any copy"), (9, "another text without any copy"), (None, ""), (None, None), (8, " ")]
+    for ids, kept in (([None] * 4, {None}), ([1, 1, 1, 2], {1}), ([None, 3, 4, None], {3})):
+        docs = spark.createDataFrame(copies("a", ids) + other, "doc_id long, text string")
+        left = [(r["doc_id"], r["text"]) for r in op4.keep_one(docs).collect()]
+        assert {i for i, t in left if t and t[0] == "a" and "w9" in t} == kept
+        assert len(left) == 5 and len(set(left)) == 5
