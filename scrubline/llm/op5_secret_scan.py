@@ -54,9 +54,21 @@ BASE = [
     Rule("access", r"AKIA[A-Z0-9]+", lambda m: m.end() - m.start() >= 18),
     Rule("hex", r"[0-9a-f]+", lambda m: m.end() - m.start() >= 16),
 ]
+# A private key from its BEGIN to its END line.  Where no END follows, its body is
+# the lines that hold base64 alone, or long base64 words if the line breaks were
+# lost, with the shorter word that closes those.  Line breaks may be written as \\n.
+_BREAK = r"(?:\s|\\[rn])"
+_HEADERS = rf"(?:{_BREAK}*+(?:[A-Z][A-Za-z]*+-[A-Z][A-Za-z]*+|Version|Comment):[^\r\n\\]*+)*+"
+_BLANK = r"(?:[\t\x20]*+\r?\n(?=[\t\x20]*+\r?\n))*+"
+_LINE = r"[\t\x20]*+\r?\n[\t\x20]*+[A-Za-z0-9+/]++={0,2}+(?=[\t\x20]*+(?:[\r\n]|\Z))"
+_WORD = rf"{_BREAK}++[A-Za-z0-9+/]{{32,}}+={{0,2}}+"
+_LAST = rf"(?<=[A-Za-z0-9+/]{{32}}){_BREAK}++(?=[A-Za-z+/]*+[0-9=])[A-Za-z0-9+/]++={{0,2}}+"
+_PEM = (rf"-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----{_HEADERS}"
+        rf"(?:[\sA-Za-z0-9+/=\\\"',>#|*]*+-----END [A-Z ]{{0,30}}PRIVATE KEY-----"
+        rf"|(?:{_BLANK}(?={_LINE}|{_WORD}))?(?:{_LINE}|{_WORD})*+(?:{_LAST})?)")
 #: Further kinds that the scan adds.
 MORE = [
-    Rule("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    Rule("pem", _PEM),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("forge", r"gh[opsu]_[A-Za-z0-9]{30,}"),
     Rule("chat", r"xox[abps]-[A-Za-z0-9-]{10,}"),

@@ -286,6 +286,30 @@ def test_secrets(spark, odd, none):
     assert op5.redact(none).count() == 0 and op5.secret_scan(none).count() == 0
 
 
+def test_private_keys_are_redacted_whole(spark):
+    rng = np.random.default_rng(3)
+    alphabet = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
+    lines = ["".join(rng.choice(alphabet, 64)) for _ in range(40)] + ["Qm9keQ4x9w=="]
+    begin, end = ("-----%s RSA PRIVATE KEY-----" % w for w in ("BEGIN", "END"))
+    header = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B", ""]
+    whole = [sep.join([begin, *head, *lines, end]) for sep in ("\n", "\r\n", "\\n", " ", "\n  ") for head in ([], header[:2] if sep == " " else header)
+             if not (sep == " " and head)]
+    cut = [sep.join([begin, *lines]) for sep in ("\n", "\r\n", "\\n", " ")] + ["\n".join([begin, *header, *lines]),
+           "\n".join([begin, *(x[k:k + 16] for x in lines[:-1] for k in range(0, 64, 16))])]
+    texts = [f"Some words. {key}{after}" for key in whole for after in ("", "\nMore words.")] + [
+        f"Some words. {key}{after}" for key in cut for after in ("", "\nMore words here.")]
+    got = op5.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    want = [f"Some words. [SECRET]{after}" for _ in whole for after in ("", "\nMore words.")] + [
+        f"Some words. [SECRET]{after}" for _ in cut for after in ("", "\nMore words here.")]
+    assert [r["text"] for r in got] == want
+    prose = f"It starts with {begin} and then the key follows, which has no words.\nNone here. {begin}\nPlain words follow."
+    found = [m.group() for m in re.finditer(op5.MORE[0].pattern, prose)]
+    assert found == [begin, begin]
+    long = re.search(op5.MORE[0].pattern, begin + ("\n" + "A" * 64) * 100_000)
+    assert long.end() == len(begin) + 6_500_000
+    assert re.search(op5.MORE[0].pattern, begin + "\n" * 1_000_000).end() == len(begin)
+
+
 def test_trigram_queries():
     assert op5.trigram_query(r"AKIA[A-Z0-9]+") == {frozenset({"aki", "kia"})}
     assert op5.trigram_query(r"[0-9a-f]+") is None
