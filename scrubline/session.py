@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -59,15 +60,68 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_OWNER: ContextVar[Workspace | None] = ContextVar("workspace", default=None)
+
+
+class Workspace:
+    """Owner of the tables that are staged while it is open.
+
+    ``with Workspace(spark) as work:`` deletes at its end, also after an error,
+    every folder that ``stage`` wrote inside the block, but for what ``keep``
+    named; those pass to the enclosing workspace if there is one.  A folder is
+    known before its first byte is written, so a write that fails leaves nothing.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders, self.kept = spark, [], set()
+        self._token = None
+
+    def __enter__(self) -> Workspace:
+        self._outer = _OWNER.get()
+        self._token = _OWNER.set(self)
+        return self
+
+    def keep(self, staged: DataFrame) -> DataFrame:
+        """A staged table that outlives the block."""
+        self.kept.update(_folder_names(staged))
+        return staged
+
+    def result(self, df: DataFrame, label: str = "result") -> DataFrame:
+        """Write a result that is still a plan over staged tables, and keep it."""
+        path = new_folder(self.spark, label)
+        self.kept.add(path.rsplit("/", 1)[1])
+        return _write(df, path)
+
+    def __exit__(self, *error) -> None:
+        _OWNER.reset(self._token)
+        for folder in self.folders:
+            if folder.rsplit("/", 1)[1] not in self.kept:
+                delete_folder(self.spark, folder)
+            elif self._outer is not None:
+                self._outer.folders.append(folder)
+        self.folders.clear()
+
+
+def _folder_names(staged: DataFrame) -> set[str]:
+    return {f.rsplit("/", 2)[1] for f in staged.inputFiles()}
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
+    owner = _OWNER.get()
+    if owner is not None:
+        owner.folders.append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write a table once and go on from the written copy.
 
     Cuts the lineage in a way that survives lost executors, and gives later
-    passes columnar files to read only their columns from.
+    passes columnar files to read only their columns from.  The copy belongs to
+    the open ``Workspace``; without one, the caller deletes it.
     """
-    path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _write(df, new_folder(df.sparkSession, label))
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:
@@ -121,8 +175,10 @@ def files_under(spark: SparkSession, path: str):
 
 def discard(staged: DataFrame) -> None:
     """Delete the folder behind a staged table."""
-    spark = staged.sparkSession
-    folders = {f.rsplit("/", 1)[0] for f in staged.inputFiles()}
-    for folder in folders:
-        fs, where = files_under(spark, folder)
-        fs.delete(where, True)
+    for folder in {f.rsplit("/", 1)[0] for f in staged.inputFiles()}:
+        delete_folder(staged.sparkSession, folder)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    fs, where = files_under(spark, folder)
+    fs.delete(where, True)
