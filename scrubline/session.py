@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 32 << 20
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -110,7 +111,13 @@ def _write(df: DataFrame, path: str) -> DataFrame:
     owner = _OWNER.get()
     if owner is not None:
         owner.folders.append(path)
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(_FREE_SHUFFLES, "false")
+    conf.set(_FREE_SHUFFLES, "true")  # what was shuffled for the copy goes when it is written
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_FREE_SHUFFLES, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
