@@ -6,13 +6,14 @@ document with a smaller id; every word under such a window is removed.
 1. Suffixes are cut to ``WINDOW`` words, as deep as a node matters here.  They
    are kept where their prefix of ``PREFIX`` words has the least hash of the
    prefixes inside a window (an anchor).  Equal windows have the same anchor, so
-   all windows of one anchor go along in one segment of text, about 3.5 words
+   all windows of one anchor go along in one segment of text, about three words
    for each window instead of ``WINDOW``.
 2. A counting pass over all documents gives the number of windows and the
    prefixes that alone would overfill a group.  Prefixes are dealt into groups of
-   about ``GROUP_WINDOWS`` windows; for an overfull prefix the length grows to all
-   ``WINDOW`` words, where a suffix needs no tree any more: equal ones are joined
-   by a minimum with map-side combine and a join whose other side is written.
+   about ``GROUP_WINDOWS`` windows.  For an overfull prefix the length grows to all
+   ``WINDOW`` words: each of its windows is a segment of its own.  Then equal
+   windows of a batch are told apart before they travel: the least document's
+   goes to the group, the others are known to repeat.
 3. Each group builds its subtree in one task: its suffixes in sorted order and
    the length each shares with its neighbour, which is the tree's shape.  A run
    of neighbours that share ``WINDOW`` words hangs below one deep internal node;
@@ -46,9 +47,9 @@ from ..session import Workspace, stage
 from .common import Bounded, map_groups, map_rows, table
 
 WINDOW = 13
-PREFIX = 5
+PREFIX = 3
 SPAN = WINDOW - PREFIX + 1
-GROUP_WINDOWS = 200_000
+GROUP_WINDOWS = 400_000
 LAST = 2**63 - 1              # the place of a null id
 _MASK = np.uint64(2**28 - 1)  # positions inside one chunk of text
 _STEP, _MIX, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(32)
@@ -192,8 +193,29 @@ def _unpack(block: bytes) -> tuple:
     return (*out, raw[place:].split(b"\n"))
 
 
+def _lengthened(words: list[bytes], did: np.ndarray, text, at, start, size) -> tuple[list, list]:
+    """The windows of overfull prefixes by all their words: those that go to a
+    group, and ``(text, at)`` of those that a smaller document of the batch decides."""
+    seen, least = [], {}
+    for k in range(len(text)):
+        for i in range(int(size[k]) - WINDOW + 1):
+            window = b" ".join(words[start[k] + i:start[k] + i + WINDOW])
+            seen.append((window, text[k], at[k] + i, start[k] + i))
+            least[window] = min(least.get(window, LAST), did[text[k]])
+    sent, sure = [], []
+    for window, t, a, s in seen:
+        if did[t] > least[window]:
+            sure.append((t, a))
+        else:
+            sent.append((t, a, s, WINDOW, xxhash.xxh64_intdigest(window)))
+    return sent, sure
+
+
 def blocks(base: DataFrame, groups: int, heavy: np.ndarray) -> DataFrame:
-    """``grp, block``: the segments of each batch, packed by group."""
+    """``grp, block``: the segments of each batch, packed by group.
+
+    A segment of no words is a window that is known to repeat; such go to any group.
+    """
     shared = base.sparkSession.sparkContext.broadcast(heavy)  # bounded, see count_prefixes
 
     def make():
@@ -204,14 +226,26 @@ def blocks(base: DataFrame, groups: int, heavy: np.ndarray) -> DataFrame:
             found, packed = [], []
             for first, part in chunked(texts):
                 words, text, at, start, size, key = cut(part)
-                light = ~_is_in(key, heavy)
-                text, at, start, size, key = (x[light] for x in (text + first, at, start, size, key))
+                text = text + first
+                if len(heavy):
+                    over = _is_in(key, heavy)
+                    sent, sure = _lengthened(words, did, *(x[over].tolist() for x in (text, at, start, size)))
+                    if sure:
+                        t, a = np.array(sure).T
+                        none = np.zeros(len(sure), np.int64)
+                        found.append(int(h[t[0]]) % groups)
+                        packed.append(_pack(did, h, t, a, none, none, b""))
+                    light = [x[~over] for x in (text, at, start, size, key)]
+                    longer = [np.array(c, x.dtype) for c, x in zip(zip(*sent, strict=True), light, strict=True)]
+                    text, at, start, size, key = (
+                        np.concatenate(x) for x in zip(light, longer or [x[:0] for x in light], strict=True))
                 if not len(key):
                     continue
                 group = ((key * _STEP) >> _SHIFT) % np.uint64(groups)
                 order = np.argsort(group, kind="stable")
                 edges = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
                 for of in np.split(order, edges[1:]):
+                    of = np.sort(of)
                     body = b"\n".join([b" ".join(words[a:b]) for a, b in zip(
                         start[of].tolist(), (start[of] + size[of]).tolist(), strict=True)])
                     found.append(int(group[of[0]]))
@@ -244,39 +278,43 @@ def repeated_leaves(suffixes: np.ndarray, doc: np.ndarray) -> np.ndarray:
 def subtree(found: list[tuple]) -> list[tuple]:
     """``(did, h, starts)`` of the repeated windows of one group's blocks."""
     ids: dict[tuple, int] = {}
-    doc, at, size, key, bodies = [], [], [], [], []
-    for did, h, inner, a, s, k, body in found:
+    columns, bodies = [[], [], [], []], []
+    for did, h, inner, *rest, body in found:
         place = np.array([ids.setdefault(x, len(ids)) for x in zip(did.tolist(), h.tolist(), strict=True)])
-        doc.append(place[inner])
-        at.append(a)
-        size.append(s)
-        key.append(k)
-        bodies += body
-    doc, at, size, key = map(np.concatenate, (doc, at, size, key))
+        for column, x in zip(columns, (place[inner], *rest), strict=True):
+            column.append(x)
+        bodies += body if body != [b""] else [b""] * len(inner)
+    doc, at, size, key = map(np.concatenate, columns)
+    doc, at, size = doc.astype(np.int64), at.astype(np.int64), size.astype(np.int64)
+    sure = size == 0
     _, inverse, n = np.unique(key, return_inverse=True, return_counts=True)
-    several = np.flatnonzero(n[inverse] > 1)  # a prefix that starts one suffix has no inner node
+    several = np.flatnonzero((n[inverse] > 1) & ~sure)  # a prefix of one suffix has no inner node
     # a row that stands twice in the corpus is one row here
     _, once = np.unique(np.stack([doc[several], at[several]]), axis=1, return_index=True)
     several = several[once]
-    if len(several) < 2:
+    hits = [(doc[sure], at[sure])]
+    if len(several) > 1:
+        names: dict[bytes, int] = defaultdict(count().__next__)
+        words = np.array([names[w] for k in several.tolist() for w in bodies[k].split(b" ")], np.int32)
+        size, doc, at = size[several], doc[several], at[several]
+        windows = size - WINDOW + 1
+        begin = np.cumsum(size) - size
+        inside = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+        start = (np.repeat(begin, windows) + inside).astype(np.int32)
+        suffixes = words[start[:, None] + np.arange(WINDOW, dtype=np.int32)]
+        order = np.array([d for d, _ in ids], np.int64)
+        doc, at = np.repeat(doc, windows), np.repeat(at, windows) + inside
+        hit = repeated_leaves(suffixes, order[doc])
+        hits.append((doc[hit], at[hit]))
+    doc, at = (np.concatenate(x) for x in zip(*hits, strict=True))
+    if not len(doc):
         return []
-    names: dict[bytes, int] = defaultdict(count().__next__)
-    words = np.array([names[w] for k in several.tolist() for w in bodies[k].split(b" ")], np.int32)
-    size, doc, at = size[several].astype(np.int64), doc[several], at[several].astype(np.int64)
-    windows = size - WINDOW + 1
-    begin = np.cumsum(size) - size
-    inside = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    start = np.repeat(begin, windows) + inside
-    suffixes = words[start[:, None] + np.arange(WINDOW)]
-    order = np.array([d for d, _ in ids], np.int64)
-    doc, at = np.repeat(doc, windows), np.repeat(at, windows) + inside
-    hit = np.flatnonzero(repeated_leaves(suffixes, order[doc]))
-    if not len(hit):
-        return []
-    hit = hit[np.lexsort((at[hit], doc[hit]))]
-    edges = np.flatnonzero(np.r_[True, np.diff(doc[hit]) != 0])
+    sort = np.lexsort((at, doc))
+    doc, at = doc[sort], at[sort]
+    edges = np.flatnonzero(np.r_[True, np.diff(doc) != 0])
     pairs = list(ids)
-    return [(*pairs[doc[part[0]]], at[part].astype("<i4").tobytes()) for part in np.split(hit, edges[1:])]
+    return [(*pairs[doc[a]], at[a:b].astype("<i4").tobytes())
+            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(doc)], strict=True)]
 
 
 def from_groups(packed: DataFrame) -> DataFrame:
@@ -285,39 +323,6 @@ def from_groups(packed: DataFrame) -> DataFrame:
                       "did long, h long, starts binary")
 
 
-def from_long_prefixes(base: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """The same for windows of the overfull prefixes, by their whole words."""
-    shared = base.sparkSession.sparkContext.broadcast(heavy)
-
-    def make():
-        cut, heavy = Segments(), shared.value
-
-        def spread(dids, hs, texts):
-            out = [[], [], [], [], []]
-            for first, part in chunked(texts):
-                words, text, at, start, size, key = cut(part)
-                for k in np.flatnonzero(_is_in(key, heavy)).tolist():
-                    doc = first + int(text[k])
-                    for i in range(int(size[k]) - WINDOW + 1):
-                        begin = int(start[k]) + i
-                        d = xxhash.xxh3_128_digest(b" ".join(words[begin:begin + WINDOW]))
-                        for column, x in zip(out, (
-                                int.from_bytes(d[:8], "little", signed=True),
-                                int.from_bytes(d[8:], "little", signed=True),
-                                dids[doc], hs[doc], int(at[k]) + i), strict=True):
-                            column.append(x)
-            return out
-        return spread
-
-    windows = stage(map_rows(base, make, "a long, b long, did long, h long, at int"), "windows")
-    # written first, so that the join's other side can be split where a key is hot
-    least = stage(windows.groupBy("a", "b").agg(F.min("did").alias("low"), F.max("did").alias("top"))
-                  .where("low < top").select("a", "b", "low"), "least")
-    hits = windows.join(least, ["a", "b"]).where("did > low").select("did", "h", "at").distinct()
-    return map_rows(hits, lambda: lambda d, h, at: (d, h, [x.to_bytes(4, "little") for x in at]),
-                    "did long, h long, starts binary")
-
-
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      group: int = GROUP_WINDOWS) -> DataFrame:
     """``did, h, starts`` (binary parts of 32-bit word numbers), one row for each
@@ -325,8 +330,6 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     base = _base(docs, id_col, text_col)
     total, heavy = count_prefixes(base, group)
     found = from_groups(blocks(base, max(1, -(-total // group)), heavy))
-    if len(heavy):
-        found = found.unionByName(from_long_prefixes(base, heavy))
     return stage(found.groupBy("did", "h").agg(F.collect_list("starts").alias("starts")), "repeats")
 
 
