@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import posixpath
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,8 @@ from ..functions import cells
 from ..functions import patterns as P
 from ..functions.cells import col as c_
 from ..functions.text import distinct_names
+from ..session import Workspace, stage
+from .records import records, split_states, start_states
 
 SUFFIXES = (".csv", ".parquet")
 
@@ -28,30 +33,60 @@ def _header(reader: DataFrameReader, path: str) -> list[str]:
     return reader.option("header", False).csv(path).first().asDict().values()
 
 
-def _has_line_breaks(spark: SparkSession, path: str) -> bool:
-    """Whether a quoted cell goes on after its line: only then does a line hold
-    an odd number of quotes, since those inside a cell are doubled."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+def _csv(spark: SparkSession) -> DataFrameReader:
+    return spark.read.option("escape", '"').option("nullValue", "")
 
 
-def _csv(spark: SparkSession, path: str) -> DataFrameReader:
-    """Files are split among tasks unless a cell of theirs holds a line break."""
-    return (spark.read.option("multiLine", _has_line_breaks(spark, path))
-            .option("escape", '"').option("nullValue", ""))
+def _names(header: list[str | None]) -> list[str]:
+    return distinct_names([n if n is not None else f"_c{i}" for i, n in enumerate(header)])
 
 
 def read_csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
     """CSV with a header.  The words that mean a missing cell become null
     first, so that a number column with ``N/A`` in it is still numbers.
 
-    Types are inferred in one aggregate over all columns: a column is whole
-    numbers, numbers or booleans if every filled cell is.
+    Large files are read by many tasks, with and without line breaks in their
+    cells: one scan tells which files have any; the others are read line by line,
+    these record by record (see :mod:`.records`).  Types are inferred in one
+    aggregate over all columns: a column is whole numbers, numbers or booleans if
+    every filled cell is.
     """
-    reader = _csv(spark, path)
-    names = distinct_names([n if n is not None else f"_c{i}"
-                            for i, n in enumerate(_header(reader, path))])
-    raw = reader.option("header", True).csv(path)
+    with Workspace(spark) as work:
+        states = stage(split_states(spark, [path]), "states")
+        broken = [r["file"] for r in states.where("breaks").select("file").distinct().collect()]
+        if not broken:
+            names = _names(_header(_csv(spark), path))
+            raw = _csv(spark).option("header", True).csv(path)
+        else:
+            raw, names = _by_records(spark, path, states, set(broken), work)
+    return _typed(raw, names, infer)
+
+
+def _by_records(spark: SparkSession, path: str, states: DataFrame, broken: set[str],
+                work: Workspace) -> tuple[DataFrame, list[str]]:
+    """Files with line breaks in cells by records, the others line by line."""
+    files = {unquote(r["file"]): r["file"] for r in states.select("file").distinct().collect()}
+    paths = [f for f, named in files.items() if named in broken]
+    starts = work.keep(stage(start_states(states.where(F.col("file").isin(list(broken)))), "starts"))
+    cut = records(spark, paths, starts)
+    header = cut.where("first").select("record").limit(1).collect()
+    names = _names(_cells(header[0]["record"]) if header else [])
+    text = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    options = {"escape": '"', "nullValue": "", "multiLine": "true"}
+    raw = cut.where("not first").select(F.from_csv("record", text.simpleString()[7:-1].replace(":", " "), options).alias("r")).select("r.*")
+    others = [f for f, named in files.items() if named not in broken]
+    if others:
+        plain = _csv(spark).option("header", True).schema(text).csv(others)
+        raw = raw.unionByName(plain)
+    return raw, names
+
+
+def _cells(record: str) -> list[str | None]:
+    return [c or None for c in next(csv.reader([record], strict=False), [])] if "\n" not in record else [
+        c or None for c in next(csv.reader(io.StringIO(record, newline="")), [])]
+
+
+def _typed(raw: DataFrame, names: list[str], infer: bool) -> DataFrame:
     df = raw.toDF(*names)
     df = df.select(*[F.when(~c_(n).isin(P.NULL_WORDS), c_(n)).alias(n) for n in names])
     return infer_types(df) if infer else df
