@@ -14,17 +14,19 @@ from .lookup import Lookup, attach, build, ranked
 _OUT = "_mapped"
 
 
-def canonical_spellings(df: DataFrame, name: str) -> DataFrame:
-    """``(k, v, n)``: folded value, its most frequent spelling, rows.
+def canonical_spellings(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``(k, v, n)``: folded value, its most frequent spelling, rows; with ``by``
+    the value comes after its table's name and a separator.
 
     Counted by spelling first, so that the second aggregate sees one row per
     distinct text and a frequent category is no burden for its reducer.
     Folds whose rows already carry the chosen spelling are left out.
     """
     text = cells.as_text(df, name)
-    spelled = (df.select(text.alias("s")).filter("s is not null")
-               .groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-               .withColumn("k", cells.fold(F.col("s"))))
+    group = F.concat(c_(by), F.lit("\x1f")) if by else F.lit("")
+    spelled = (df.select(group.alias("g"), text.alias("s")).filter("s is not null")
+               .groupBy("g", "s").agg(F.count(F.lit(1)).alias("n"))
+               .withColumn("k", F.concat("g", cells.fold(F.col("s")))))
     best = F.min(F.struct((-F.col("n")).alias("n"), F.col("s")))
     return (spelled.groupBy("k")
             .agg(best.alias("b"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("forms"))

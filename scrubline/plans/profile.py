@@ -12,12 +12,18 @@ passes, each an aggregate with map-side combine:
   come from it;
 * ``duplicate_rows``: one group-by over whole rows, long texts as digests;
 * outliers: exact quantiles by narrowing, then one counting pass.
+
+``profile_by`` profiles many tables that stand in one, told apart by a column:
+the passes and jobs are those of one table, whatever the number of tables.
+Inside, the key of a column is then the table's name, a separator and the
+column's name.
 """
 
 from __future__ import annotations
 
 import re
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark import inheritable_thread_target
@@ -30,21 +36,44 @@ from ..functions import patterns as P
 from ..functions.cells import col as c_
 from ..functions.text import distinct_names, non_ascii, snake_case
 from ..operators.missing import fences
-from ..operators.quantiles import quantiles
+from ..operators.quantiles import per_group, quantiles
 from ..operators.rows import filled_cells
-from ..session import discard, small_table, stage
+from ..session import Workspace, small_table, stage
 
 SCHEMA = "col string, signal string, detail string, value double, text string"
 TOP = 5
+SEPARATOR = "\x1f"
+#: A column of this many distinct values, or of this share of the rows if that is
+#: more, is looked at for spellings that differ only in case and margins.
+CASING_VALUES, CASING_SHARE = 20, 0.05
+#: A text column of more than this many values, more than this share of them
+#: numbers, is looked at for outliers.
+NUMBER_VALUES, NUMBER_SHARE = 10, 0.9
+#: A key column has this share of distinct values at least.
+KEY_SHARE = 0.9
 
 
 def _by_kind(df: DataFrame, *wanted: str) -> list[str]:
     return [n for n, k in cells.kinds(df).items() if k in wanted]
 
 
-def _long(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+def _key(by: str | None, name: str) -> Column:
+    """What stands for a column: its name, after its table's if there are several."""
+    return F.lit(name) if by is None else F.concat(c_(by), F.lit(SEPARATOR + name))
+
+
+def split_key(key: str) -> tuple[str | None, str]:
+    group, mark, name = key.rpartition(SEPARATOR)
+    return (group if mark else None), name
+
+
+def _of(df: DataFrame, by: str | None) -> DataFrame:
+    return df if by is None else df.drop(c_(by))
+
+
+def _long(df: DataFrame, columns: dict[str, Column], by: str | None = None) -> DataFrame:
     """``(col, x)`` with one row per cell of the given expressions."""
-    cells_ = [part for n, e in columns.items() for part in (F.lit(n), e)]
+    cells_ = [part for n, e in columns.items() for part in (_key(by, n), e)]
     return df.select(F.stack(F.lit(len(columns)), *cells_).alias("col", "x"))
 
 
@@ -70,34 +99,38 @@ def null_share(n_rows: Column, n_filled: Column) -> Column:
     return F.coalesce(F.round(100.0 * (1 - share), 2), F.lit(0.0))
 
 
-def table_signals(df: DataFrame) -> DataFrame:
+def table_signals(df: DataFrame, by: str | None = None) -> DataFrame:
     """n_rows, n_cols, blank rows and columns, and per column the null share."""
-    kinds = cells.kinds(df)
+    kinds = cells.kinds(_of(df, by))
     names = list(kinds)
-    totals = df.agg(
+    grouped = df.groupBy() if by is None else df.groupBy(c_(by).alias("group"))
+    totals = grouped.agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_if(filled_cells(df) == 0).alias("blank_rows"),
+        F.count_if(filled_cells(_of(df, by)) == 0).alias("blank_rows"),
         *[F.count(c_(n)).alias(f"f{i}") for i, n in enumerate(names)],
         *[F.count_if(~cells.blank(c_(n), kinds[n])).alias(f"b{i}")
           for i, n in enumerate(names)],
     )
-    none = _quoted(None)
+    def key(name: str) -> str:
+        return _quoted(name) if by is None else f"concat(`group`, {_quoted(SEPARATOR + name)})"
+
+    none = _quoted(None) if by is None else key("")
     rows = [(none, "n_rows", None, "n"), (none, "n_cols", None, str(len(names))),
             (none, "blank_rows", None, "blank_rows")]
     for i, n in enumerate(names):
-        rows.append((_quoted(n), "n_filled", None, f"f{i}"))
-        rows.append((_quoted(n), "null_pct", None, f"p{i}"))
-        rows.append((_quoted(n), "blank_column", None, f"n > 0 and b{i} = 0"))
+        rows.append((key(n), "n_filled", None, f"f{i}"))
+        rows.append((key(n), "null_pct", None, f"p{i}"))
+        rows.append((key(n), "blank_column", None, f"n > 0 and b{i} = 0"))
     shares = {f"p{i}": null_share(F.col("n"), F.col(f"f{i}")) for i in range(len(names))}
     return _signals(totals.withColumns(shares), rows)
 
 
-def text_values(df: DataFrame) -> DataFrame:
+def text_values(df: DataFrame, by: str | None = None) -> DataFrame:
     """``(col, x)``: every non-null cell of the text columns."""
-    names = _by_kind(df, "text")
+    names = _by_kind(_of(df, by), "text")
     if not names:
         return small_table(df.sparkSession, [], "col string, x string")
-    return _long(df, {n: c_(n) for n in names}).filter("x is not null")
+    return _long(df, {n: c_(n) for n in names}, by).filter("x is not null")
 
 
 def _which(c: Column, patterns: dict[str, str], possible: dict[str, Column]) -> Column:
@@ -150,7 +183,8 @@ def text_counts(values: DataFrame) -> DataFrame:
     )
 
 
-def text_signals(df: DataFrame) -> DataFrame:
+def text_signals(df: DataFrame, by: str | None = None, number_values: int = NUMBER_VALUES,
+                 number_share: float = NUMBER_SHARE) -> DataFrame:
     """Date, phone, currency, number, boolean and white-space signals."""
     n_dates, n_phones = len(P.DATE_FORMATS), len(P.PHONE_FORMATS)
     dates = [f"p{i}" for i in range(n_dates)]
@@ -165,34 +199,35 @@ def text_signals(df: DataFrame) -> DataFrame:
         ("col", "bool_as_string", None, "if(bools = n, n, null)"),
         ("col", "whitespace", None, "spaces"),
         ("col", "number_like", None,
-         f"if({no_date} and {no_phone} and numbers > 0.9D * n and n > 10, numbers, null)"),
+         f"if({no_date} and {no_phone} and numbers > {float(number_share)}D * n "
+         f"and n > {int(number_values)}, numbers, null)"),
         ("col", "non_ascii", None, "non_ascii"),
     ]
-    return _signals(text_counts(text_values(df)), entries).filter("value > 0")
+    return _signals(text_counts(text_values(df, by)), entries).filter("value > 0")
 
 
-def nfc_signals(df: DataFrame) -> DataFrame:
+def nfc_signals(df: DataFrame, by: str | None = None) -> DataFrame:
     """Cells not in composed Unicode form; only non-ASCII text is looked at."""
     @F.pandas_udf(T.BooleanType())
     def decomposed(x: pd.Series) -> pd.Series:
         import unicodedata
         return ~x.map(lambda v: unicodedata.is_normalized("NFC", v)).astype(bool)
 
-    counted = (text_values(df).filter(non_ascii(F.col("x"))).groupBy("col")
+    counted = (text_values(df, by).filter(non_ascii(F.col("x"))).groupBy("col")
                .agg(F.count_if(decomposed("x")).alias("n")))
     return _signals(counted, [("col", "non_nfc", None, "n")]).filter("value > 0")
 
 
-def number_values(df: DataFrame) -> DataFrame:
-    names = _by_kind(df, "number")
+def number_values(df: DataFrame, by: str | None = None) -> DataFrame:
+    names = _by_kind(_of(df, by), "number")
     if not names:
         return small_table(df.sparkSession, [], "col string, x double")
-    return _long(df, {n: c_(n).cast("double") for n in names}).filter("x is not null")
+    return _long(df, {n: c_(n).cast("double") for n in names}, by).filter("x is not null")
 
 
-def number_signals(df: DataFrame) -> DataFrame:
+def number_signals(df: DataFrame, by: str | None = None) -> DataFrame:
     """min, max, mean and sample deviation per number column."""
-    stats = number_values(df).groupBy("col").agg(
+    stats = number_values(df, by).groupBy("col").agg(
         F.min("x").alias("lo"), F.max("x").alias("hi"),
         F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"))
     return _signals(stats, [
@@ -201,13 +236,13 @@ def number_signals(df: DataFrame) -> DataFrame:
     ]).filter("value is not null")
 
 
-def value_frequencies(df: DataFrame) -> DataFrame:
+def value_frequencies(df: DataFrame, by: str | None = None) -> DataFrame:
     """``(col, k, f, n)``: distinct cells per column as grouping keys, with
     the key of their folded form, and how many rows hold them."""
     parts = []
-    if texts := _by_kind(df, "text"):
+    if texts := _by_kind(_of(df, by), "text"):
         x = F.col("x")
-        parts.append(_long(df, {n: c_(n) for n in texts}).filter("x is not null")
+        parts.append(_long(df, {n: c_(n) for n in texts}, by).filter("x is not null")
                      .withColumn("folded", cells.fold(x))
                      .select("col", cells.group_key(x).alias("k"),
                              cells.group_key(F.col("folded")).alias("f")))
@@ -218,7 +253,7 @@ def value_frequencies(df: DataFrame) -> DataFrame:
         x = F.concat(F.lit("="), F.col("x"))
         floats = (T.FloatType, T.DoubleType)  # adding zero makes -0.0 and 0.0 one value
         parts.append(_long(df, {n: (c_(n) + F.lit(0.0).cast(df.schema[n].dataType) if isinstance(
-            df.schema[n].dataType, floats) else c_(n)).cast("string") for n in others})
+            df.schema[n].dataType, floats) else c_(n)).cast("string") for n in others}, by)
                      .filter("x is not null")
                      .select("col", x.alias("k"), x.alias("f")))
     if not parts:
@@ -244,21 +279,23 @@ def top_keys(freq: DataFrame, top: int = TOP) -> DataFrame:
     return freq.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 
 
-def top_values(df: DataFrame, freq: DataFrame, names: list[str]) -> DataFrame:
+def top_values(df: DataFrame, freq: DataFrame, names: list[str], by: str | None = None) -> DataFrame:
     """``(col, rank, n, value)`` with masked texts.
 
     A long text is known by its digest only; the few that made the top are
     looked up in the table again.
     """
-    names = [n for n in names if n in _by_kind(df, "text")]
-    keys = top_keys(freq.filter(F.col("col").isin(names)))
+    names = [n for n in names if n in _by_kind(_of(df, by), "text")]
+    name = F.substring_index("col", SEPARATOR, -1) if by else F.col("col")
+    keys = top_keys(freq.filter(name.isin(names)))
     found = keys.withColumn("x", F.when(F.col("k").startswith("="), F.expr("substring(k, 2)")))
     digests = [r for r in found.select("col", "k", "rank", "n", "x").collect()]
     missing = [(r["col"], r["k"]) for r in digests if r["x"] is None]
     texts: dict[tuple[str, str], str] = {}
     if missing:
         wanted = small_table(df.sparkSession, missing, "col string, k string")
-        hits = (text_values(df.select(*[c_(n) for n in {m[0] for m in missing}]))
+        some = sorted({split_key(m[0])[1] if by else m[0] for m in missing})
+        hits = (text_values(df.select(*([c_(by)] if by else []), *[c_(n) for n in some]), by)
                 .withColumn("k", cells.group_key(F.col("x")))
                 .join(F.broadcast(wanted), ["col", "k"], "left_semi")
                 .groupBy("col", "k").agg(F.min("x").alias("x")))
@@ -268,7 +305,7 @@ def top_values(df: DataFrame, freq: DataFrame, names: list[str]) -> DataFrame:
     table = small_table(df.sparkSession, rows, "col string, rank int, n bigint, x string")
     hidden = [n for n in names if masks.is_sensitive(n)]
     return table.select("col", "rank", "n", F.when(
-        F.col("col").isin(hidden), masks.mask_whole(F.col("x"))
+        name.isin(hidden), masks.mask_whole(F.col("x"))
     ).otherwise(masks.mask_all(F.col("x"))).alias("value"))
 
 
@@ -282,6 +319,32 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     return groups.agg(F.coalesce(F.sum(F.col("m") - 1), F.lit(0)).alias("n"))
 
 
+def repeated_by(df: DataFrame, by: str) -> dict[str, int]:
+    """``duplicate_rows`` of every table."""
+    keys = [cells.group_key(c_(f.name)) if cells.kind_of(f.dataType) == "text"
+            else c_(f.name) for f in _of(df, by).schema.fields]
+    groups = (df.select(c_(by).alias("group"), *[k.alias(f"k{i}") for i, k in enumerate(keys)])
+              .groupBy("group", *[f"k{i}" for i in range(len(keys))]).agg(F.count(F.lit(1)).alias("m")))
+    return {r["group"]: r["n"] for r in groups.groupBy("group").agg(F.sum(F.col("m") - 1).alias("n")).collect()}
+
+
+def outliers_by(df: DataFrame, columns: dict[str, Column], by: str,
+                approximate: bool = False) -> dict[tuple[str, str], int]:
+    """``outlier_counts`` of every table: ``{(group, column): n}``."""
+    if not columns:
+        return {}
+    quartiles = quantiles(df, columns, [0.25, 0.75], approximate, by)
+    low, high = {n: {} for n in columns}, {n: {} for n in columns}
+    for g, found in quartiles.items():
+        for n, (q1, q3) in found.items():
+            if q1 is not None and q3 > q1:
+                low[n][g], high[n][g] = fences(q1, q3)
+    counted = df.groupBy(c_(by).alias("group")).agg(*[
+        F.count_if((columns[n] < per_group(by, low[n])) | (columns[n] > per_group(by, high[n]))).alias(f"n{i}")
+        for i, n in enumerate(columns)]).collect()
+    return {(r["group"], n): r[f"n{i}"] for r in counted for i, n in enumerate(columns) if r[f"n{i}"]}
+
+
 def outlier_counts(df: DataFrame, columns: dict[str, Column],
                    approximate: bool = False) -> DataFrame:
     """``(col, n)``: cells outside the quartile fences, where the quartiles
@@ -302,14 +365,15 @@ def outlier_counts(df: DataFrame, columns: dict[str, Column],
     ]))).filter("n > 0")
 
 
-def duplicate_keys(df: DataFrame, distinct: DataFrame, shape: DataFrame) -> DataFrame:
+def duplicate_keys(df: DataFrame, distinct: DataFrame, shape: DataFrame,
+                   share: float = KEY_SHARE) -> DataFrame:
     """``(col, n)``: repeated values in columns that look like keys."""
     names = [n for n in df.columns if re.search(P.KEY_COLUMN, n)]
     n_rows = shape.filter("signal = 'n_rows'").select("value").scalar()
     filled = shape.filter("signal = 'n_filled'").select("col", F.col("value").alias("filled"))
     candidates = (distinct.filter(F.col("col").isin(names))
                   .join(filled, "col").withColumn("rows", n_rows)
-                  .filter(F.col("n_unique") >= 0.9 * F.col("rows")))
+                  .filter(F.col("n_unique") >= share * F.col("rows")))
     has_null = (F.col("filled") < F.col("rows")).cast("int")
     return candidates.select(
         "col", (F.col("rows") - F.col("n_unique") - has_null).cast("bigint").alias("n")
@@ -329,72 +393,127 @@ def column_rows(df: DataFrame) -> list[tuple]:
     return rows
 
 
-def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
+@dataclass(frozen=True)
+class Limits:
+    """Where a signal starts to count; ``None`` looks at every column."""
+    casing_values: int | None = CASING_VALUES
+    casing_share: float = CASING_SHARE
+    number_values: int = NUMBER_VALUES
+    number_share: float = NUMBER_SHARE
+    key_share: float = KEY_SHARE
+
+
+def profile(df: DataFrame, approximate: bool = False, limits: Limits = Limits()) -> DataFrame:
     """The whole profile.  The passes run here, side by side where they do not
     need each other; the result is a small local table, so whatever is derived
     from it costs no further scan."""
-    df = cells.nan_to_null(df)
+    rows = _profiles(cells.nan_to_null(df), None, [None], approximate, limits)
+    return small_table(df.sparkSession, rows[None], SCHEMA)
+
+
+def profile_by(df: DataFrame, by: str, groups: list[str], approximate: bool = False,
+               limits: Limits = Limits()) -> DataFrame:
+    """``(group, col, ...)``: the profiles of all tables that ``by`` tells apart,
+    in as many jobs as one takes.  ``groups`` names them, those without rows too."""
+    rows = _profiles(cells.nan_to_null(df), by, groups, approximate, limits)
+    return small_table(df.sparkSession, [(g, *r) for g in groups for r in rows[g]],
+                       "group string, " + SCHEMA)
+
+
+def _profiles(df: DataFrame, by: str | None, groups: list, approximate: bool,
+              limits: Limits) -> dict[str | None, list[tuple]]:
+    """Profile rows of every group; without ``by`` the only group is None."""
     with ThreadPoolExecutor(4) as pool:
         def later(job, *args):
             return pool.submit(inheritable_thread_target(df.sparkSession)(job), *args)
 
-        shape = later(lambda: table_signals(df).collect())
-        texts = later(_text_rows, df)
-        numbers = later(lambda: number_signals(df).collect())
-        outliers = later(_outlier_rows, df, texts, approximate)
-        repeated = later(lambda: duplicate_rows(df).first()["n"])
-        values = _value_rows(df, shape.result())
-    rows = column_rows(df)
-    rows += [tuple(r) for r in shape.result()
-             if r["value"] or r["signal"] in ("n_rows", "n_cols", "null_pct", "n_filled")]
-    rows += [tuple(r) for r in texts.result() if r["signal"] != "non_ascii"]
-    rows += [tuple(r) for r in numbers.result()]
-    rows += outliers.result() + values
-    if repeated.result():
-        rows.append((None, "duplicate_rows", None, float(repeated.result()), None))
-    return small_table(df.sparkSession, rows, SCHEMA)
-
-
-def _text_rows(df: DataFrame) -> list:
-    found = text_signals(df).collect()
-    if any(r["signal"] == "non_ascii" for r in found):
-        found += nfc_signals(df).collect()
-    return found
+        shape = later(lambda: _told(table_signals(df, by).collect(), by))
+        texts = later(_text_rows, df, by, limits)
+        numbers = later(lambda: _told(number_signals(df, by).collect(), by))
+        outliers = later(_outlier_rows, df, by, texts, approximate)
+        repeated = later(lambda: {None: duplicate_rows(df).first()["n"]} if by is None else repeated_by(df, by))
+        values = _value_rows(df, by, shape.result(), groups, limits)
+    out = {}
+    schema_rows = column_rows(_of(df, by))
+    for g in groups:
+        rows = list(schema_rows)
+        rows += [r for r in shape.result().get(g) or _no_rows(_of(df, by))
+                 if r[3] or r[1] in ("n_rows", "n_cols", "null_pct", "n_filled")]
+        rows += [r for r in texts.result().get(g, []) if r[1] != "non_ascii"]
+        rows += numbers.result().get(g, []) + outliers.result().get(g, []) + values[g]
+        if n := repeated.result().get(g):
+            rows.append((None, "duplicate_rows", None, float(n), None))
+        out[g] = rows
+    return out
+
+
+def _told(rows: list, by: str | None) -> dict[str | None, list[tuple]]:
+    """Collected profile rows by group, with plain column names."""
+    if by is None:
+        return {None: [tuple(r) for r in rows]}
+    out: dict[str | None, list[tuple]] = {}
+    for r in rows:
+        group, name = split_key(r["col"])
+        out.setdefault(group, []).append((name or None, *tuple(r)[1:]))
+    return out
+
 
+def _no_rows(df: DataFrame) -> list[tuple]:
+    """The table signals of a table that has columns only."""
+    rows = [(None, "n_rows", None, 0.0, None), (None, "n_cols", None, float(len(df.columns)), None)]
+    return rows + [(n, s, None, 0.0, None) for n in df.columns for s in ("n_filled", "null_pct")]
 
-def _outlier_rows(df: DataFrame, texts, approximate: bool) -> list[tuple]:
-    numeric = {n: c_(n).cast("double") for n in _by_kind(df, "number")}
-    numeric |= {r["col"]: cells.grouped_text_to_number(c_(r["col"]))
-                for r in texts.result() if r["signal"] == "number_like"}
-    return [(r["col"], "iqr_outliers", None, float(r["n"]), None)
-            for r in outlier_counts(df, numeric, approximate).collect()]
 
+def _text_rows(df: DataFrame, by: str | None, limits: Limits) -> dict:
+    found = text_signals(df, by, limits.number_values, limits.number_share).collect()
+    if any(r["signal"] == "non_ascii" for r in found):
+        found += nfc_signals(df, by).collect()
+    return _told(found, by)
+
+
+def _outlier_rows(df: DataFrame, by: str | None, texts, approximate: bool) -> dict:
+    like = [(g, r[0]) for g, rows in texts.result().items() for r in rows if r[1] == "number_like"]
+    numeric = {n: c_(n).cast("double") for n in _by_kind(_of(df, by), "number")}
+    numeric |= {n: cells.grouped_text_to_number(c_(n)) for n in sorted({n for _, n in like})}
+    if by is None:
+        return {None: [(r["col"], "iqr_outliers", None, float(r["n"]), None)
+                       for r in outlier_counts(df, numeric, approximate).collect()]}
+    wanted = set(like) | {(g, n) for n in _by_kind(_of(df, by), "number") for g in (None,)}
+    out: dict = {}
+    for (g, n), k in outliers_by(df, numeric, by, approximate).items():
+        if (g, n) in wanted or (None, n) in wanted:
+            out.setdefault(g, []).append((n, "iqr_outliers", None, float(k), None))
+    return out
 
-def _value_rows(df: DataFrame, shape: list) -> list[tuple]:
+
+def _value_rows(df: DataFrame, by: str | None, shape: dict, groups: list, limits: Limits) -> dict:
     """Signals that come from the value frequencies."""
-    n_rows = next(r["value"] for r in shape if r["signal"] == "n_rows")
-    filled = {r["col"]: r["value"] for r in shape if r["signal"] == "n_filled"}
-    kinds, rows = cells.kinds(df), []
-    freq = stage(value_frequencies(df), "frequencies")
-    try:
-        distinct = {r["col"]: r for r in distinct_counts(freq).collect()}
-        for name in df.columns:
-            r = distinct.get(name)
-            n_unique = float(r["n_unique"]) if r else 0.0
-            rows.append((name, "n_unique", None, n_unique, None))
-            if r and kinds[name] == "text" and n_unique <= max(20, n_rows // 20) \
-                    and r["folded"] < n_unique:
-                rows.append((name, "casing_raw", None, n_unique, None))
-                rows.append((name, "casing_folded", None, float(r["folded"]), None))
-            if re.search(P.KEY_COLUMN, name) and n_unique >= 0.9 * n_rows:
-                repeated = n_rows - n_unique - (filled[name] < n_rows)
-                if repeated > 0:
-                    rows.append((name, "duplicate_keys", None, float(repeated), None))
-        rows += [(r["col"], "top_value", str(r["rank"]), float(r["n"]), r["value"])
-                 for r in top_values(df, freq, df.columns).collect()]
-    finally:
-        discard(freq)
-    return rows
+    kinds = cells.kinds(_of(df, by))
+    out: dict = {g: [] for g in groups}
+    with Workspace(df.sparkSession):
+        freq = stage(value_frequencies(df, by), "frequencies")
+        distinct = {(split_key(r["col"]) if by else (None, r["col"])): r for r in distinct_counts(freq).collect()}
+        for g in groups:
+            rows, signals = out[g], shape.get(g) or _no_rows(_of(df, by))
+            n_rows = next(r[3] for r in signals if r[1] == "n_rows")
+            filled = {r[0]: r[3] for r in signals if r[1] == "n_filled"}
+            few = float("inf") if limits.casing_values is None else max(
+                limits.casing_values, n_rows * limits.casing_share + 1e-6)
+            for name in kinds:
+                r = distinct.get((g, name))
+                n_unique = float(r["n_unique"]) if r else 0.0
+                rows.append((name, "n_unique", None, n_unique, None))
+                if r and kinds[name] == "text" and n_unique <= few and r["folded"] < n_unique:
+                    rows.append((name, "casing_raw", None, n_unique, None))
+                    rows.append((name, "casing_folded", None, float(r["folded"]), None))
+                if re.search(P.KEY_COLUMN, name) and n_unique >= limits.key_share * n_rows:
+                    repeated = n_rows - n_unique - (filled[name] < n_rows)
+                    if repeated > 0:
+                        rows.append((name, "duplicate_keys", None, float(repeated), None))
+        for r in top_values(df, freq, list(kinds), by).collect():
+            group, name = split_key(r["col"]) if by else (None, r["col"])
+            out[group].append((name, "top_value", str(r["rank"]), float(r["n"]), r["value"]))
+    return out
 
 
 def as_dict(profile_table: DataFrame) -> dict:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
@@ -79,6 +80,8 @@ class StepRun:
     before: DataFrame | None = None
     after: DataFrame | None = None
     duration_ms: float = 0.0
+    replan: Callable[[DataFrame], Change] | None = None  # the change on another plan of the table
+    stats: dict = field(default_factory=dict)            # per group, if there are several
 
 
 @dataclass
@@ -177,8 +180,8 @@ class _Segment:
     collected on the side would not.
     """
 
-    def __init__(self, start: DataFrame):
-        self.df = start.withColumn("_alive", F.lit(True))
+    def __init__(self, start: DataFrame, by: str | None = None):
+        self.df, self.by = start.withColumn("_alive", F.lit(True)), by
         self.metrics: dict[str, Column] = {}
 
     def add(self, run: StepRun) -> None:
@@ -191,7 +194,8 @@ class _Segment:
             return
         if change.base is not None:  # a lookup or a helper column is joined on again
             tool = TOOLS[run.step["tool"]]
-            change = tool.plan(self.df, run.col, run.step.get("params") or {}, run.fitted)
+            change = run.replan(self.df) if run.replan else tool.plan(
+                self.df, run.col, run.step.get("params") or {}, run.fitted)
         new = dict(change.assign)
         for name, condition in change.flags.items():
             flag = f"_flag{run.index}_{name}"
@@ -215,48 +219,69 @@ class _Segment:
             F.min(pair), F.max(pair), F.min_by(pair, mixed))))
 
     def measure(self, rows: bool) -> dict:
+        """``{group: {metric: value}}`` in one aggregate; the only group is None
+        for a single table."""
         metrics = dict(self.metrics)
         if rows:
             metrics["rows"] = F.count_if(F.col("_alive"))
         if not metrics:
             return {}
-        row = self.df.agg(*[m.alias(f"m{i}") for i, m in enumerate(metrics.values())])
-        return dict(zip(metrics, row.first()))
+        counted = [m.alias(f"m{i}") for i, m in enumerate(metrics.values())]
+        if self.by is None:
+            return {None: dict(zip(metrics, self.df.agg(*counted).first()))}
+        return {r[0]: dict(zip(metrics, tuple(r)[1:]))
+                for r in self.df.groupBy(cells.col(self.by)).agg(*counted).collect()}
 
 
 def audit_table(result: RecipeRun) -> DataFrame:
     """One row per step: status, counts, fitted constants, masked examples."""
-    ok = [r for r in result.runs if r.status == "ok"]
-    found: dict[str, object] = {}
-    rows_before: dict[int, int] = {}
+    found = measured_changes(result.runs).get(None, {})
+    rows = [_audit_row(r, found) for r in result.runs]
+    return small_table(result.df.sparkSession, rows, AUDIT).transform(_mask_examples)
+
+
+def audit_by(runs: list[StepRun], by: str, groups: list[str], spark: SparkSession) -> DataFrame:
+    """``(group, step, ...)``: the audits of several tables that were cleaned in one."""
+    found = measured_changes(runs, by)
+    rows = [(g, *_audit_row(r, found.get(g, {}), g)) for g in groups for r in runs]
+    return small_table(spark, rows, "group string, " + AUDIT).transform(_mask_examples)
+
+
+def measured_changes(runs: list[StepRun], by: str | None = None) -> dict[str | None, dict]:
+    """Counts and examples of every step, ``{group: {"index:metric": value}}``."""
+    ok = [r for r in runs if r.status == "ok"]
+    found: dict[str | None, dict] = {}
+    rows_before: dict[int, dict] = {}
     segment: _Segment | None = None
     pending: StepRun | None = None  # last deduplication, still to be counted after
+
+    def close(rows: bool) -> dict:
+        nonlocal pending
+        measured = segment.measure(rows=rows)
+        for g, values in measured.items():
+            found.setdefault(g, {}).update({k: v for k, v in values.items() if k != "rows"})
+        if pending:
+            for g, before in rows_before[pending.index].items():
+                left = _rows_at_start(measured[g], segment) if g in measured else 0
+                found.setdefault(g, {})[f"{pending.index}:rows_affected"] = before - left
+            pending = None
+        return measured
+
     for r in ok:
         if segment is None:
-            segment = _Segment(r.before)
+            segment = _Segment(r.before, by)
         if r.change.table is None:
             segment.add(r)
             continue
         dedupes = TOOLS[r.step["tool"]].shuffles(r.step.get("params") or {})
         if dedupes or segment.metrics or pending:
-            measured = segment.measure(rows=True)
-            found |= {k: v for k, v in measured.items() if k != "rows"}
-            if pending:
-                found[f"{pending.index}:rows_affected"] = (
-                    rows_before[pending.index] - _rows_at_start(measured, segment))
-                pending = None
+            measured = close(rows=True)
             if dedupes:
-                rows_before[r.index], pending = measured["rows"], r
-        segment = _Segment(r.after)
+                rows_before[r.index], pending = {g: m["rows"] for g, m in measured.items()}, r
+        segment = _Segment(r.after, by)
     if segment is not None and (segment.metrics or pending):
-        measured = segment.measure(rows=True)
-        found |= {k: v for k, v in measured.items() if k != "rows"}
-        if pending:
-            found[f"{pending.index}:rows_affected"] = (
-                rows_before[pending.index] - _rows_at_start(measured, segment))
-    spark = result.df.sparkSession
-    return small_table(spark, [_audit_row(r, found) for r in result.runs], AUDIT).transform(
-        _mask_examples)
+        close(rows=True)
+    return found
 
 
 def _rows_at_start(measured: dict, segment: _Segment) -> int:
@@ -266,10 +291,10 @@ def _rows_at_start(measured: dict, segment: _Segment) -> int:
         if k.endswith(":rows_affected") and f"_flag{k.split(':')[0]}" in segment.df.columns)
 
 
-def _audit_row(r: StepRun, found: dict) -> tuple:
+def _audit_row(r: StepRun, found: dict, group: str | None = None) -> tuple:
     mine = {k.split(":", 1)[1]: v for k, v in found.items() if k.startswith(f"{r.index}:")}
     stats = {k: json.dumps(v, ensure_ascii=False, default=str) if isinstance(v, (dict, list))
-             else str(v) for k, v in (r.change.stats if r.change else {}).items()}
+             else str(v) for k, v in {**(r.change.stats if r.change else {}), **r.stats.get(group, {})}.items()}
     stats |= {k: str(v) for k, v in mine.items() if k not in ("rows_affected", "examples")}
     if r.col != r.step.get("col"):
         stats["col_resolved_to"] = str(r.col)

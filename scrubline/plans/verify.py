@@ -86,14 +86,50 @@ def verify_profiles(before: DataFrame, after: DataFrame) -> DataFrame:
     is gone counts as resolved.  Issues in new columns are new, unless the
     column is one a step added on purpose.
     """
-    names_after = column_names(after).select(F.col("col").alias("name"))
-    matched = (column_names(before)
+    return _verdicts(column_names(before), issue_sizes(before), column_names(after), issue_sizes(after))
+
+
+def verify_by(before: DataFrame, after: DataFrame, groups: list[str]) -> DataFrame:
+    """``(group, issue, ...)``: the verdicts of many tables, from the profiles that
+    ``profile_by`` made of them.
+
+    A table's number stands before its column names while they are matched; its
+    own issues go under the number alone.
+    """
+    numbers = small_table(before.sparkSession, [(g, f"t{i:06d}_") for i, g in enumerate(groups)],
+                          "group string, mark string")
+
+    def marked(profile: DataFrame) -> tuple[DataFrame, DataFrame]:
+        known = profile.join(F.broadcast(numbers), "group")
+        keyed = known.withColumn("col", F.concat("mark", "col"))
+        # one table's own rows are kept apart by a column of that name
+        own = known.where("col is null").withColumn("detail", F.col("signal")).groupBy("mark").agg(
+            *[F.max(F.when(F.col("signal") == s, F.col("value"))).alias(s) for s in ("duplicate_rows", "blank_rows")])
+        whole = own.select(F.inline(F.array(
+            F.struct(F.col("mark").alias("col"), F.lit("duplicates").alias("issue"), F.col("duplicate_rows").alias("size")),
+            F.struct(F.col("mark").alias("col"), F.lit("blank_rows").alias("issue"), F.col("blank_rows").alias("size"))
+        ))).filter("size > 0")
+        columns = issue_sizes(keyed.where("col is not null").drop("group", "mark")).where("col is not null")
+        names = column_names(keyed).unionByName(numbers.select(F.col("mark").alias("col")))
+        return names, columns.unionByName(whole)
+
+    found = _verdicts(*marked(before), *marked(after))
+    return (found.withColumn("mark", F.substring("col", 1, 8)).join(F.broadcast(numbers), "mark")
+            .withColumn("name", F.expr("substring(col, 9)"))
+            .select("group", "issue", F.when(F.col("name") != "", F.col("name")).alias("col"),
+                    "before", "after", "verdict"))
+
+
+def _verdicts(names_before: DataFrame, sizes_before: DataFrame, names: DataFrame,
+              sizes_after: DataFrame) -> DataFrame:
+    names_after = names.select(F.col("col").alias("name"))
+    matched = (names_before
                .join(F.broadcast(names_after), F.col("col") == F.col("name"), "left")
                .withColumn("there", F.coalesce("name", snake(F.col("col"))))
                .select("col", "there"))
-    b = issue_sizes(before).withColumnRenamed("size", "b").join(
+    b = sizes_before.withColumnRenamed("size", "b").join(
         F.broadcast(matched), "col", "left")
-    a = issue_sizes(after).withColumnRenamed("size", "a").select(
+    a = sizes_after.withColumnRenamed("size", "a").select(
         F.col("col").alias("there"), "issue", "a")
     known = matched.select("col", "there")
     known_names = known.select(F.col("there")).union(known.select("col")).distinct()

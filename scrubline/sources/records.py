@@ -54,35 +54,36 @@ def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def split_states(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``file, block, outer, inner, breaks``: the state after a split for either
-    state before it, and whether any line leaves a cell open when read from a
-    record's start."""
+    """``file, block, outer, inner, breaks, head``: the state after a split for
+    either state before it, whether any line leaves a cell open when read from a
+    record's start, and a file's first line."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, outer, inner, breaks, found = None, False, True, False, []
+        place, outer, inner, breaks, head, found = None, False, True, False, None, []
 
         def out(rows):
             columns = zip(*rows, strict=True)
-            types = (pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_())
+            types = (pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string())
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, types, strict=True)],
-                names=["file", "block", "outer", "inner", "breaks"])
+                names=["file", "block", "outer", "inner", "breaks", "head"])
 
         for batch in batches:
             for file, block, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (file, block) != place:
                     if place is not None:
-                        found.append((*place, outer, inner, breaks))
+                        found.append((*place, outer, inner, breaks, head))
                     place, outer, inner, breaks = (file, block), False, True, False
+                    head = line if block == 0 else None
                 if '"' in line:
                     breaks = breaks or opens(line)
                     outer, inner = after(line, outer), after(line, inner)
         if place is not None:
-            found.append((*place, outer, inner, breaks))
+            found.append((*place, outer, inner, breaks, head))
         if found:
             yield out(found)
 
     return _lines(spark, paths).mapInArrow(
-        run, "file string, block bigint, outer boolean, inner boolean, breaks boolean")
+        run, "file string, block bigint, outer boolean, inner boolean, breaks boolean, head string")
 
 
 def start_states(states: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import csv
 import io
 import posixpath
 from collections.abc import Callable
-from urllib.parse import unquote
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from ..functions import patterns as P
 from ..functions.cells import col as c_
 from ..functions.text import distinct_names
 from ..session import Workspace, stage
-from .records import records, split_states, start_states
+from .records import opens, records, split_states, start_states
 
 SUFFIXES = (".csv", ".parquet")
 
@@ -81,6 +81,73 @@ def _by_records(spark: SparkSession, path: str, states: DataFrame, broken: set[s
     return raw, names
 
 
+def read_csv_files(spark: SparkSession, paths: list[str], by: str) -> tuple[list[DataFrame], dict[str, str]]:
+    """Many CSV files as few tables: those of one header stand in one, as text,
+    with the file's path in column ``by``; and the files that have no header.
+
+    One scan of all files finds headers and line breaks, whatever their number.
+    The staged states belong to the open workspace.
+    """
+    states = stage(split_states(spark, paths), "states")
+    seen = states.groupBy("file").agg(F.max("head").alias("head"), F.max("breaks").alias("breaks")).collect()
+    shapes: dict[tuple, list] = {}
+    for r in seen:
+        cells_ = _cells((r["head"] or "").rstrip("\r").removeprefix("\ufeff"))
+        if r["breaks"] and opens(r["head"] or ""):  # the header itself goes over lines
+            cells_ = list(_header(_csv(spark).option("multiLine", True), unquote(r["file"])))
+        if cells_:
+            shapes.setdefault(tuple(_names(cells_)), []).append(r)
+    known = {unquote(r["file"]) for files in shapes.values() for r in files}
+    missing = {p: "no header" for p in paths if _same_path(p) not in {_same_path(k) for k in known}}
+    starts = None
+    out = []
+    for names, files in shapes.items():
+        text = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+        parts = []
+        if whole := [unquote(r["file"]) for r in files if not r["breaks"]]:
+            parts.append(_csv(spark).option("header", True).schema(text).csv(whole).select(
+                *text.names, F.col("_metadata.file_path").alias(by)))
+        if broken := [r["file"] for r in files if r["breaks"]]:
+            if starts is None:
+                starts = stage(start_states(states), "starts")
+            cut = records(spark, [unquote(f) for f in broken], starts.where(F.col("file").isin(broken)))
+            ddl = ", ".join(f"{n} string" for n in text.names)
+            parts.append(cut.where("not first").select(
+                F.from_csv("record", ddl, {"escape": '"', "nullValue": "", "multiLine": "true"}).alias("r"),
+                F.col("file").alias(by)).select("r.*", by))
+        df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        df = df.toDF(*names, by)
+        out.append((df.select(*[F.when(~c_(n).isin(P.NULL_WORDS), c_(n)).alias(n) for n in names], by),
+                    [unquote(r["file"]) for r in files]))
+    return out, missing
+
+
+def _same_path(path: str) -> str:
+    return urlparse(path).path.replace("//", "/")
+
+
+def infer_types_by(df: DataFrame, by: str, groups: list[str]) -> list[tuple[DataFrame, list[str]]]:
+    """``infer_types`` of many tables in one aggregate; tables of other types come
+    back in tables of their own."""
+    names = [n for n, k in cells.kinds(df).items() if k == "text" and n != by]
+    tests = [_is_whole, lambda c: cells.text_to_number(c).isNotNull(), lambda c: F.lower(c).isin("true", "false")]
+    found = {r[0]: tuple(r)[1:] for r in df.groupBy(c_(by)).agg(*[
+        F.coalesce(F.bool_and(F.when(c_(n).isNotNull(), test(c_(n)))), F.lit(False)).alias(f"t{i}_{j}")
+        for i, n in enumerate(names) for j, test in enumerate(tests)]).collect()}
+    alike: dict[tuple, list[str]] = {}
+    for g in groups:
+        flags = found.get(g, (False,) * (3 * len(names)))
+        kinds = tuple(next((j for j in range(3) if flags[3 * i + j]), None) for i in range(len(names)))
+        alike.setdefault(kinds, []).append(g)
+    casts = (lambda c: F.trim(c).cast("bigint"), cells.text_to_number, lambda c: F.lower(c).cast("boolean"))
+    out = []
+    for kinds, mine in alike.items():
+        typed = {n: casts[k](c_(n)) for n, k in zip(names, kinds, strict=True) if k is not None}
+        rows = df if len(alike) == 1 else df.where(c_(by).isin(mine))
+        out.append((rows.withColumns(typed) if typed else rows, mine))
+    return out
+
+
 def _cells(record: str) -> list[str | None]:
     return [c or None for c in next(csv.reader([record], strict=False), [])] if "\n" not in record else [
         c or None for c in next(csv.reader(io.StringIO(record, newline="")), [])]

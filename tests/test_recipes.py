@@ -15,7 +15,8 @@ from scrubline.plans.score import score
 from scrubline.session import stage
 from scrubline.sources import (dedupe_column_names, pick_table, read_csv, read_path, read_table,
                                write_cleaned, write_csv)
-from scrubline.streaming.feed import Feed, feed_log
+from scrubline.streaming.feed import (Feed, feed_audit, feed_log, feed_rejected, feed_verdicts,
+                                      process_batch, result_path)
 
 
 def step(tool, col=None, **params):
@@ -139,26 +140,64 @@ def test_feed(spark, tmp_path):
     (landing / "breach.csv").write_text(good.replace(",20\n", ",999\n"))
     (landing / "good_cleaned.csv").write_text(good)
     (landing / "broken.parquet").write_text("not parquet")
+    (landing / "empty.csv").write_text("\n")
+    (landing / "breaks é.csv").write_text(good.replace("id,phone", 'id,"phone').replace("phone,", 'phone",'))
     (landing / "notes.txt").write_text("skip me")
+    spark.createDataFrame([(1, "09171230001", 21)], "id long, phone string, age long").coalesce(1).write.parquet(
+        f"file:{landing}/sub/p.parquet")
     feed = Feed(*[f"file:{tmp_path}/{n}" for n in
                   ("landing", "out", "quarantine", "log", "checkpoint")],
                 steps=[step("normalize_phone", "phone"), step("flag_outliers", "age")],
                 contract={"columns": {"age": {"max": 120}}})
     feed.start(spark).awaitTermination()
     log = {r.file: r for r in feed_log(spark, feed.log).collect()}
-    assert set(log) == {"good.csv", "other schema.csv", "breach.csv", "broken.parquet"}
-    assert log["good.csv"].status == "cleaned" and log["good.csv"].rows == 40
+    parquet = [f for f in log if f.startswith("sub@-p.parquet@-part-")]
+    assert set(log) == {"good.csv", "other schema.csv", "breach.csv", "broken.parquet", "empty.csv",
+                        "breaks é.csv", *parquet} and len(parquet) == 1
+    assert log["good.csv"].status == log["breaks é.csv"].status == log[parquet[0]].status == "cleaned"
+    assert log["good.csv"].rows == log["breaks é.csv"].rows == 40 and log[parquet[0]].rows == 1
     assert "steps need other columns" in log["other schema.csv"].reason
     assert log["breach.csv"].reason == "broken rules: range of age (8)"
-    assert "not processed" in log["broken.parquet"].reason
-    cleaned = read_csv(spark, f"{feed.out}/good_cleaned.csv", infer=False)
-    assert cleaned.filter("phone like '+639%'").count() == 40
-    assert os.path.isdir(tmp_path / "quarantine" / "breach_attempt.csv")
+    assert "not processed" in log["broken.parquet"].reason and "not processed" in log["empty.csv"].reason
+    for name in ("good.csv", "breaks é.csv"):
+        cleaned = read_csv(spark, result_path(feed.out, name), infer=False)
+        assert cleaned.filter("phone like '+639%'").count() == 40
+    assert read_csv(spark, result_path(feed.quarantine, "breach.csv")).count() == 40
+    rejected = {r.file: r["count"] for r in feed_rejected(spark, feed.log).groupBy("file").count().collect()}
+    assert rejected == {"breach.csv": 40, "other schema.csv": 1}
+    audit = {(r.file, r.tool): r.rows_affected for r in feed_audit(spark, feed.log).collect()}
+    assert audit["good.csv", "normalize_phone"] == 40 and audit["breach.csv", "flag_outliers"] == 8
+    assert ("breach.csv", "outliers", "age", "flagged") in {
+        (r.file, r.issue, r.col, r.verdict) for r in feed_verdicts(spark, feed.log).collect()}
 
     (landing / "later.csv").write_text(good)
     feed.start(spark).awaitTermination()
     names = [r.file for r in feed_log(spark, feed.log).collect()]
     assert sorted(names) == sorted([*log, "later.csv"])
+    # a batch without its manifest is no part of the log
+    os.remove(tmp_path / "log" / "commits" / "1.json")
+    assert "later.csv" not in [r.file for r in feed_log(spark, feed.log).collect()]
+
+
+def test_jobs_of_a_batch_do_not_grow_with_its_files(spark, tmp_path):
+    tracker, jobs = spark.sparkContext.statusTracker(), {}
+    for n in (4, 40):
+        landing = tmp_path / f"landing{n}"
+        landing.mkdir()
+        for k in range(n):
+            rows = "".join(f"{i},0917123{i:04d},{20 + i % 5 + (900 if i == k % 9 else 0)}\n" for i in range(30))
+            (landing / f"f{k}.csv").write_text("id,phone,age\n" + rows)
+        feed = Feed(f"file:{landing}", *[f"file:{tmp_path}/{x}{n}" for x in ("out", "quarantine", "log", "checkpoint")],
+                    steps=[step("normalize_phone", "phone"), step("flag_outliers", "age"),
+                           step("standardize_categories", "phone"), step("impute_missing", "age")])
+        spark.sparkContext.setJobGroup(f"feed{n}", "")
+        process_batch(spark, [f"file:{landing}/f{k}.csv" for k in range(n)], feed, 0)
+        jobs[n] = len(tracker.getJobIdsForGroup(f"feed{n}"))
+        assert [r.status for r in feed_log(spark, feed.log).collect()] == ["cleaned"] * n
+        assert len(os.listdir(tmp_path / f"out{n}")) >= n
+    spark.sparkContext.setJobGroup("", "")
+    # Spark lists more than 32 paths by a job of its own, for lines and for cells
+    assert 0 < jobs[4] <= jobs[40] <= jobs[4] + 3
 
 
 def test_csv_keeps_line_breaks(spark, tmp_path):
