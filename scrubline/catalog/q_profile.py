@@ -8,6 +8,7 @@ from ..functions import cells
 from ..operators.rows import filled_cells
 from ..plans import columnstats, profile, suggest
 from . import duck_profile as D
+from .q_columns import duck_fold
 from .registry import query
 from .views import table, view
 
@@ -137,6 +138,22 @@ def _(spark, sf):
                     F.col("folded").cast("double").alias("folded")))
 
 
+_SPELLINGS = " union all ".join(
+    f"select '{c}' as col, cast(count(distinct {c}) as double) as raw, "
+    f"cast(count(distinct {duck_fold(c)}) as double) as folded from dirty_customers"
+    for c in ("full_name", "email", "phone", "segment"))
+
+
+@query("profile_casing_all", uses=("dirty_customers",), sql=f"select * from ({_SPELLINGS}) where folded < raw")
+def _(spark, sf):
+    """Spellings of every text column, however many values it has."""
+    found = profile.profile(view(spark, sf, "dirty_customers"), limits=profile.Limits(casing_values=None))
+    value = F.col("value")
+    return found.where("signal in ('casing_raw', 'casing_folded')").groupBy("col").agg(
+        F.max(F.when(F.col("signal") == "casing_raw", value)).alias("raw"),
+        F.max(F.when(F.col("signal") == "casing_folded", value)).alias("folded"))
+
+
 def _top(c: str, masked: str) -> str:
     return (f"select '{c}' as col, rank, n, {masked} as value from (select x, n, "
             f"cast(row_number() over (order by n desc, x) as integer) as rank from "

@@ -105,7 +105,12 @@ def issue_list(profile: DataFrame) -> DataFrame:
     return table_rows.unionByName(_issues(c, F.col("col"), found))
 
 
-def suggest_steps(profile: DataFrame, columns: list[str] | None = None) -> DataFrame:
+#: A column with this share of missing cells or more, in percent, gets no flag.
+MOSTLY_MISSING = 50.0
+
+
+def suggest_steps(profile: DataFrame, columns: list[str] | None = None,
+                  mostly_missing: float = MOSTLY_MISSING) -> DataFrame:
     """``(ord, tool, col, params, reason)``: the steps the profile calls for.
 
     Order matters: names, blank rows, blank columns, duplicates, then column
@@ -166,7 +171,7 @@ def suggest_steps(profile: DataFrame, columns: list[str] | None = None) -> DataF
                        _whole(F.col("casing_folded")), F.lit(" categories")), casing),
         entry(here, 7, "impute_missing", target, {"strategy": "flag_only"},
               F.concat(number_text(nulls, T.DoubleType()), F.lit("% missing, flagged only")),
-              (nulls > 0) & (nulls < 50)),
+              (nulls > 0) & (nulls < mostly_missing)),
         entry(here, 8, "flag_outliers", target, {"method": "iqr"},
               F.concat(_whole(F.col("iqr_outliers")), F.lit(" outliers, flagged only")),
               F.col("iqr_outliers") > 0),
