@@ -123,8 +123,8 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDO
     """The documents, with all their columns, that hold no window."""
     hit = find_hits(docs, benchmark, size, id_col, text_col).where(F.size("spans") > 0)
     bad = broadcast_if_small(stage(hit.select(
-        F.col("id").alias("_id"), F.col("dg").alias("_dg")), "contaminated"))
-    same = F.col("_id").eqNullSafe(docs[id_col]) & (F.col("_dg") == F.xxhash64(docs[text_col]))
+        F.col("id").alias("hit id"), F.col("dg").alias("hit dg")), "contaminated"))
+    same = bad["hit id"].eqNullSafe(docs[id_col]) & (bad["hit dg"] == F.xxhash64(docs[text_col]))
     return docs.join(bad, same, "left_anti")
 
 

@@ -145,7 +145,9 @@ def in_open_buckets(members: DataFrame, classes: DataFrame, roots: DataFrame) ->
     open_keys = rooted.groupBy("key").agg(
         F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c")).where(
         "lo <> hi").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
-    rows = rooted.join(open_keys, "key").join(
+    # written first, like every aggregate here that is joined on by its key: only
+    # then is a hot key's side split
+    rows = rooted.join(broadcast_if_small(stage(open_keys, "open")), "key").join(
         classes.select("node", "n", "sketch", "bands"), "node").withColumn(
         "part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     cells = rows.withColumn("other", F.explode_outer(F.sequence(F.lit(0), F.col("parts") - 1))).select(
@@ -243,15 +245,15 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     order = F.struct(F.col("id").isNull(), "id", "dg")
     least = found.where("root is not null").groupBy("root").agg(
         F.min(order).alias("least"), F.max(order).alias("most")).where("least <> most").select(
-        "root", F.col("least.id").alias("_id"), F.col("least.dg").alias("_dg"))
+        "root", F.col("least.id").alias("near id"), F.col("least.dg").alias("near dg"))
     least = broadcast_if_small(stage(least, "kept"))
     gone = broadcast_if_small(stage(found.join(least, "root").where(
-        ~(F.col("id").eqNullSafe(F.col("_id")) & (F.col("dg") == F.col("_dg")))).select(
-        F.col("id").alias("_id"), F.col("dg").alias("_dg")).distinct(), "removed"))
-    same = F.col("_id").eqNullSafe(df[id_col]) & (F.col("_dg") == F.xxhash64(df[text_col]))
+        ~(F.col("id").eqNullSafe(F.col("near id")) & (F.col("dg") == F.col("near dg")))).select(
+        F.col("id").alias("near id"), F.col("dg").alias("near dg")).distinct(), "removed"))
+    same = gone["near id"].eqNullSafe(df[id_col]) & (gone["near dg"] == F.xxhash64(df[text_col]))
     left = df.join(gone, same, "left_anti")
     repeated = found.groupBy("id", "dg").count().where("count > 1").join(
-        gone, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_dg") == F.col("dg")), "left_anti")
+        gone, gone["near id"].eqNullSafe(F.col("id")) & (gone["near dg"] == F.col("dg")), "left_anti")
     return left if repeated.isEmpty() else left.dropDuplicates([id_col, text_col])
 
 
@@ -265,8 +267,8 @@ def classify(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     buckets = classes.select("node", F.posexplode_outer("bands").alias("band", "key"))
     shared = buckets.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where(
-        F.col("first") != F.col("last"))
-    members = stage(buckets.join(shared.select("key", "first"), "key"), "members")
+        F.col("first") != F.col("last")).select("key", "first")
+    members = stage(buckets.join(broadcast_if_small(stage(shared, "shared")), "key"), "members")
     led = members.where(F.col("node") != F.col("first")).select(
         F.col("node").alias("a"), F.col("first").alias("b")).distinct()
 
@@ -296,8 +298,8 @@ def classify(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     rooted = classes.select("node", "low").join(roots, "node", "left").withColumn(
         "root", F.coalesce("root", "node"))
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    found = rooted.join(lows, "root").select("node", "component_id", "root")
+    lows = stage(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "lows")
+    found = stage(rooted.join(broadcast_if_small(lows), "root").select("node", "component_id", "root"), "found")
     alone = signed.where("node is null").select(
         "id", "dg", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"),
         F.lit(None).cast("binary").alias("root"))

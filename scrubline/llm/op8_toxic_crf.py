@@ -213,7 +213,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
              for bad in (True, False)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most 2 * sample ids
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(
-        chosen, "_id").select("bad", "_text", F.xxhash64("_id").alias("h")).dropDuplicates(["_text"]).collect()
+        chosen, "_id").groupBy("_text").agg(  # equal texts are one row, the same one on every run
+            F.max("bad").alias("bad"), F.min(F.xxhash64("_id")).alias("h")).collect()
     rows = sorted(rows, key=lambda r: (r["h"], r["_text"] or ""))
     toxic = np.array([r["bad"] for r in rows], bool)
     if not len(toxic) or toxic.all() or not toxic.any():
