@@ -4,6 +4,11 @@ A step has two halves.  ``fit`` runs small aggregates and returns constants or
 a mapping; it may raise ``ValueError`` when the step cannot work.  ``plan``
 turns those into a :class:`Change` without running anything, so a chain of
 steps stays one lazy plan that Catalyst collapses.
+
+A fit that is made of common aggregates says so: ``needs`` names them, and
+``answer`` makes the constants of what was found.  A recipe then meets the needs
+of all steps that see the same table in shared passes.  Which steps those are
+follows from ``writes``, the columns that a step may write.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cells
+from .needs import Need, gather
 
 
 @dataclass
@@ -47,20 +53,39 @@ class Tool:
     needs_column: bool
     asked_only: Callable[[dict], bool]
     shuffles: Callable[[dict], bool]
+    needs: Callable[[dict], Need | None] | None = None
+    answer: Callable[[str, dict, dict], dict] | None = None
+    #: columns that may be written; None if rows go or others could change
+    writes: Callable[[str, dict], set[str] | None] = lambda col, params: None
 
 
 TOOLS: dict[str, Tool] = {}
 
 
 def step(name: str, *, fit=None, check=None, needs_column: bool = True,
-         asked_only=lambda params: False, shuffles=lambda params: False):
-    """Register a step.  Users add their own with the same decorator."""
+         asked_only=lambda params: False, shuffles=lambda params: False,
+         needs=None, answer=None, writes=lambda col, params: None):
+    """Register a step.  Users add their own with the same decorator.
+
+    Either ``fit`` or ``needs`` with ``answer``; neither if nothing is fitted.
+    """
+    if needs:
+        def fit(df, col, params):
+            need = needs(params)
+            return answer(col, params, gather(df, [(col, need)])[0] if need else {})
+
     def register(plan):
-        TOOLS[name] = Tool(name, plan, fit, check, needs_column, asked_only, shuffles)
+        TOOLS[name] = Tool(name, plan, fit, check, needs_column, asked_only, shuffles,
+                           needs, answer, writes)
         return plan
     return register
 
 
+def own_column(col: str, params: dict) -> set[str]:
+    """``writes`` of a step that changes its column only."""
+    return {col}
+
+
 def plan_step(df: DataFrame, tool: str, col: str | None = None,
               params: dict | None = None, fitted: dict | None = None) -> Change:
     """Fit a step unless ``fitted`` constants are given, then plan it."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import cells
 from ..functions.cells import col as c_
 from ..session import small_table, stage
-from .base import Change, step
+from .base import Change, own_column, step
 from .lookup import Lookup, attach, build, ranked
 
 _OUT = "_mapped"
@@ -49,7 +49,7 @@ def _given(df: DataFrame, mapping: dict) -> Lookup:
     return Lookup(table, rows)
 
 
-@step("standardize_categories", fit=_fit_standardize)
+@step("standardize_categories", fit=_fit_standardize, writes=own_column)
 def standardize_categories(df: DataFrame, col, params, fitted) -> Change:
     """One spelling per category: a given mapping, or the most frequent form
     of each group that differs only in case and margins."""
@@ -101,7 +101,8 @@ def _fit_encode(df: DataFrame, col, params) -> dict:
                                      params.get("order_by"))}
 
 
-@step("encode_categories", fit=_fit_encode, check=_category_order)
+@step("encode_categories", fit=_fit_encode, check=_category_order,
+      writes=lambda col, params: {f"{col}_code" if params.get("new_column") else col})
 def encode_categories(df: DataFrame, col, params, fitted) -> Change:
     """Category text to whole numbers, in place or in ``<col>_code``."""
     target = f"{col}_code" if params.get("new_column") else col

@@ -10,7 +10,8 @@ from ..functions import cells, text
 from ..functions.cells import col as c_
 from ..functions.regex import (check_replacement, java_literal, java_pattern, java_replacement,
                                plain_replacement)
-from .base import Change, step
+from .base import Change, own_column, step
+from .needs import Need
 
 
 def _named(df: DataFrame, col, params) -> list[str]:
@@ -59,7 +60,7 @@ def _needs_find(params: dict) -> None:
         java_pattern(str(params["find"]))
 
 
-@step("replace_values", check=_needs_find)
+@step("replace_values", check=_needs_find, writes=own_column)
 def replace_values(df: DataFrame, col, params, fitted) -> Change:
     """Find and replace by whole cell, literal part or regex; nulls stay."""
     find, repl = str(params["find"]), str(params.get("replace", ""))
@@ -83,7 +84,7 @@ def _known_case(params: dict) -> None:
         raise ValueError(f"case must be one of {list(text.CASES)}")
 
 
-@step("format_text", check=_known_case, asked_only=lambda params: True)
+@step("format_text", check=_known_case, asked_only=lambda params: True, writes=own_column)
 def format_text(df: DataFrame, col, params, fitted) -> Change:
     case = params.get("case", "title")
     old = cells.as_text(df, col)
@@ -92,7 +93,7 @@ def format_text(df: DataFrame, col, params, fitted) -> Change:
                   flags={"rows_affected": cells.changed(old, new)})
 
 
-@step("trim_whitespace")
+@step("trim_whitespace", writes=own_column)
 def trim_whitespace(df: DataFrame, col, params, fitted) -> Change:
     """One blank between words, none outside, composed Unicode (NFC)."""
     old = cells.as_text(df, col)
@@ -106,7 +107,7 @@ def _fit_round(df: DataFrame, col, params) -> dict:
     return {}
 
 
-@step("round_numbers", fit=_fit_round, asked_only=lambda params: True)
+@step("round_numbers", fit=_fit_round, asked_only=lambda params: True, writes=own_column)
 def round_numbers(df: DataFrame, col, params, fitted) -> Change:
     """Half-even rounding; text cells that are not numbers stay."""
     decimals = int(params.get("decimals", 2))
@@ -123,22 +124,12 @@ def round_numbers(df: DataFrame, col, params, fitted) -> Change:
                   flags={"rows_affected": hit})
 
 
-def moments(df: DataFrame, col: str) -> dict:
-    """count, min, max, mean and sample deviation of the finite numbers."""
-    x = cells.finite(cells.as_number(df, col))
-    return df.agg(
-        F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"),
-        F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-    ).first().asDict()
-
-
 def _scale_method(params: dict) -> None:
     if params.get("method", "minmax") not in ("minmax", "zscore"):
         raise ValueError("method must be minmax or zscore")
 
 
-def _fit_scale(df: DataFrame, col, params) -> dict:
-    fitted = moments(df, col)
+def _scale_limits(col: str, params: dict, fitted: dict) -> dict:
     if fitted["n"] < 2:
         raise ValueError(f"scaling '{col}' takes two numbers or more")
     if fitted["min"] == fitted["max"]:
@@ -146,7 +137,8 @@ def _fit_scale(df: DataFrame, col, params) -> dict:
     return fitted
 
 
-@step("scale_numeric", fit=_fit_scale, check=_scale_method, asked_only=lambda params: True)
+@step("scale_numeric", needs=lambda params: Need(moments=True), answer=_scale_limits,
+      check=_scale_method, asked_only=lambda params: True, writes=own_column)
 def scale_numeric(df: DataFrame, col, params, fitted) -> Change:
     """To 0..1 or to standard scores; the constants stay in the audit."""
     method = params.get("method", "minmax")

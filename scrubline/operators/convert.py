@@ -9,10 +9,10 @@ from ..functions import cells
 from ..functions import patterns as P
 from ..functions.cells import col as c_
 from ..functions.dates import with_date
-from .base import Change, step
+from .base import Change, own_column, step
 
 
-@step("normalize_dates")
+@step("normalize_dates", writes=own_column)
 def normalize_dates(df: DataFrame, col, params, fitted) -> Change:
     """To ``yyyy-MM-dd`` text; cells that are no date stay as they are.
 
@@ -37,7 +37,7 @@ def e164(c: Column) -> Column:
             .when(digits.startswith("9") & (n == 10), F.concat(F.lit("+63"), digits)))
 
 
-@step("normalize_phone")
+@step("normalize_phone", writes=own_column)
 def normalize_phone(df: DataFrame, col, params, fitted) -> Change:
     old = cells.as_text(df, col)
     phone = e164(old)
@@ -46,7 +46,7 @@ def normalize_phone(df: DataFrame, col, params, fitted) -> Change:
                          "parse_failures": old.isNotNull() & phone.isNull()})
 
 
-@step("normalize_currency")
+@step("normalize_currency", writes=lambda col, params: {col, f"{col}_currency", f"{col}_raw"})
 def normalize_currency(df: DataFrame, col, params, fitted) -> Change:
     """Amount as double plus ``<col>_currency``; other cells become null.
 
@@ -76,7 +76,7 @@ def _target(params: dict) -> None:
         raise ValueError("target must be numeric or bool")
 
 
-@step("fix_dtypes", check=_target)
+@step("fix_dtypes", check=_target, writes=own_column)
 def fix_dtypes(df: DataFrame, col, params, fitted) -> Change:
     """Text to numbers (thousands commas allowed) or to booleans; cells that
     do not convert become null and are counted."""

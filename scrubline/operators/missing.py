@@ -9,8 +9,7 @@ from pyspark.sql import types as T
 from ..functions import cells
 from ..functions.cells import col as c_
 from .base import Change, step
-from .columns import moments
-from .quantiles import quantiles
+from .needs import Need
 
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -23,30 +22,30 @@ def _impute_params(params: dict) -> None:
         raise ValueError("a constant fill takes params.value")
 
 
-def _fit_impute(df: DataFrame, col, params) -> dict:
+def _impute_need(params: dict) -> Need | None:
+    return {"mode": Need(mode=True), "mean": Need(moments=True),
+            "median": Need(probs=(0.5,), approximate=bool(params.get("approximate")))}.get(
+        params.get("strategy", "flag_only"))
+
+
+def _impute_fill(col: str, params: dict, found: dict) -> dict:
     strategy = params.get("strategy", "flag_only")
     if strategy == "flag_only":
         return {}
     if strategy == "constant":
         return {"fill": params["value"]}
     if strategy == "mode":
-        # Counted by group, then a top-1: no reducer holds all the values.
-        top = (df.filter(c_(col).isNotNull()).groupBy(c_(col).alias("v")).count()
-               .orderBy(F.desc("count"), F.asc("v")).first())
-        if top is None:
+        if found["mode"] is None:
             raise ValueError(f"'{col}' is empty, it has no mode")
-        return {"fill": top["v"]}
-    if strategy == "mean":
-        fill = moments(df, col)["mean"]
-    else:
-        approximate = bool(params.get("approximate"))
-        fill = quantiles(df, {col: cells.as_number(df, col)}, [0.5], approximate)[col][0]
+        return {"fill": found["mode"]}
+    fill = found["mean"] if strategy == "mean" else found["quantiles"][0]
     if fill is None:
         raise ValueError(f"no number in '{col}' to take a {strategy} of")
     return {"fill": fill}
 
 
-@step("impute_missing", fit=_fit_impute, check=_impute_params,
+@step("impute_missing", needs=_impute_need, answer=_impute_fill, check=_impute_params,
+      writes=lambda col, params: {col, f"{col}_missing"},
       asked_only=lambda params: params.get("strategy", "flag_only") != "flag_only")
 def impute_missing(df: DataFrame, col, params, fitted) -> Change:
     """Always adds ``<col>_missing``; fills only when a strategy is named."""
@@ -81,12 +80,16 @@ def _outlier_method(params: dict) -> None:
         raise ValueError("method must be iqr or zscore")
 
 
-def _fit_outliers(df: DataFrame, col, params) -> dict:
+def _outlier_need(params: dict) -> Need:
+    if params.get("method", "iqr") == "zscore":
+        return Need(moments=True)
+    return Need(probs=(0.25, 0.75), approximate=bool(params.get("approximate")))
+
+
+def _outlier_limits(col: str, params: dict, found: dict) -> dict:
     if params.get("method", "iqr") == "zscore":
-        return moments(df, col)
-    q1, q3 = quantiles(df, {col: cells.as_number(df, col)}, [0.25, 0.75],
-                       bool(params.get("approximate")))[col]
-    return {"q1": q1, "q3": q3}
+        return found
+    return dict(zip(("q1", "q3"), found["quantiles"], strict=True))
 
 
 def fences(q1: float, q3: float) -> tuple[float, float]:
@@ -112,7 +115,8 @@ def outlier(x: Column, params: dict, fitted: dict) -> Column:
     return F.coalesce(far, F.lit(False))
 
 
-@step("flag_outliers", fit=_fit_outliers, check=_outlier_method,
+@step("flag_outliers", needs=_outlier_need, answer=_outlier_limits, check=_outlier_method,
+      writes=lambda col, params: None if params.get("action") == "drop" else {f"{col}_outlier"},
       asked_only=lambda params: params.get("action") == "drop")
 def flag_outliers(df: DataFrame, col, params, fitted) -> Change:
     """Adds ``<col>_outlier``; with ``action='drop'`` removes those rows."""
@@ -133,7 +137,7 @@ def outside(number: Column, low, high) -> Column:
     return out
 
 
-@step("validate_rule")
+@step("validate_rule", writes=lambda col, params: {f"{col}_invalid"})
 def validate_rule(df: DataFrame, col, params, fitted) -> Change:
     """Adds ``<col>_invalid`` for a range or an allowed list; missing cells
     and text that is no number pass the range."""

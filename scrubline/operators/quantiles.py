@@ -194,16 +194,18 @@ class _Search:
                 r.answer = row["x"]
 
 
-def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float],
+def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float] | dict[str, list[float]],
                     small: int = SMALL_BRACKET, by: str | None = None) -> dict:
     """``{name: value per prob}`` with linear interpolation between ranks; with
     ``by``, ``{group: {name: ...}}`` of every group that has rows.
 
     ``columns`` are numeric expressions; nulls and infinities are ignored.
+    ``probs`` may be a list for each of them.
     """
     if not columns:
         return {}
     names = list(columns)
+    probs = _of_columns(columns, probs)
     x = {n: F.col(f"q{i}") for i, n in enumerate(names)}
     data = df.select(*([by] if by else []), *[
         F.when(F.abs(columns[n].cast("double")) < float("inf"), columns[n].cast("double"))
@@ -211,16 +213,16 @@ def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float
     ])
     search = _Search(data, by, small)
     # The first pass counts and already sketches around the probabilities.
-    around = [f for p in probs for f in _around(p)]
+    around = {n: [f for p in probs[n] for f in _around(p)] for n in names}
     opening = search.agg([F.count(x[n]).alias(f"n{i}") for i, n in enumerate(names)]
-                         + [F.percentile_approx(x[n], around, ACCURACY).alias(f"s{i}") for i, n in enumerate(names)])
+                         + [F.percentile_approx(x[n], around[n], ACCURACY).alias(f"s{i}") for i, n in enumerate(names)])
     ranks: dict[tuple, _Rank] = {}
     cuts: list[tuple[_Rank, float, float]] = []
     total = {}
     for g, row in opening.items():
         for i, n in enumerate(names):
             total[g, n] = row[i]
-            for j, p in enumerate(probs):
+            for j, p in enumerate(probs[n]):
                 spot = p * (row[i] - 1)
                 for r in {math.floor(spot), math.ceil(spot)} if row[i] else ():
                     if (g, n, r) not in ranks:
@@ -238,7 +240,7 @@ def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float
         lower, upper = ranks[g, n, math.floor(spot)].answer, ranks[g, n, math.ceil(spot)].answer
         return lower + (upper - lower) * (spot - math.floor(spot))
 
-    found = {g: {n: [at(g, n, p) for p in probs] for n in names} for g in opening}
+    found = {g: {n: [at(g, n, p) for p in probs[n]] for n in names} for g in opening}
     return found if by else found[None]
 
 
@@ -247,14 +249,19 @@ def _around(fraction: float) -> list[float]:
     return [max(0.0, fraction - margin), min(1.0, fraction + margin)]
 
 
-def quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float],
+def _of_columns(columns: dict, probs: list[float] | dict[str, list[float]]) -> dict[str, list[float]]:
+    return probs if isinstance(probs, dict) else dict.fromkeys(columns, probs)
+
+
+def quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float] | dict[str, list[float]],
               approximate: bool = False, by: str | None = None) -> dict:
     """Exact quantiles, or one sketch pass when ``approximate``; grouped with ``by``."""
     if not approximate:
         return exact_quantiles(df, columns, probs, by=by)
-    wanted = [F.percentile_approx(F.when(F.abs(c) < float("inf"), c), probs, ACCURACY).alias(f"q{i}")
-              for i, c in enumerate(columns.values())]
+    probs = _of_columns(columns, probs)
+    wanted = [F.percentile_approx(F.when(F.abs(c) < float("inf"), c), probs[n], ACCURACY).alias(f"q{i}")
+              for i, (n, c) in enumerate(columns.items())]
     found = _Search(df, by, 0).agg(wanted)
-    named = {g: {n: list(v) if v else [None] * len(probs) for n, v in zip(columns, row)}
+    named = {g: {n: list(v) if v else [None] * len(probs[n]) for n, v in zip(columns, row)}
              for g, row in found.items()}
     return named if by else named[None]

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import cells, masks
 from ..functions import patterns as P
 from ..functions.text import snake_case
-from ..operators.base import TOOLS, Change, plan_step
+from ..operators.base import TOOLS, Change, Tool, plan_step
+from ..operators.needs import Need, gather
 from ..session import discard, read_text, small_table, stage, write_text
 
 VERSION = 1
@@ -123,10 +124,15 @@ def run_recipe(df: DataFrame, steps: list[dict],
     After a step that shuffles the table, the result is written out once if a
     later step still has to be fitted: the fits and the final pass then read
     the columns they need instead of repeating the shuffle.
+
+    Steps whose columns no step between them writes are fitted together, in the
+    passes of one (``together``); the first of them takes the time.
     """
     current = cells.nan_to_null(df)
     runs: list[StepRun] = []
     staged: list[DataFrame] = []
+    found: dict[int, dict] = {}   # by step: what was gathered for its fit
+    alone: set[int] = set()       # steps that could not be gathered for together
     for i, s in enumerate(steps):
         started = time.perf_counter()
         run = StepRun(s, i, resolve(s.get("col"), current.columns))
@@ -139,7 +145,13 @@ def run_recipe(df: DataFrame, steps: list[dict],
         try:
             known = fitted[i] if fitted else None
             if known is None and tool.fit:
-                run.fitted = _fit(current, tool, run.col, params)
+                if tool.needs and i not in found and i not in alone:
+                    wanted = together(current, steps, i, fitted)
+                    try:
+                        found |= dict(zip(wanted, gather(current, list(wanted.values())), strict=True))
+                    except (ValueError, TypeError, KeyError, PySparkException):
+                        alone.update(wanted)  # each tells its own error
+                run.fitted = _fit(current, tool, run.col, params, found.get(i))
             else:
                 run.fitted = known or {}
             run.change = plan_step(current, tool.name, run.col, params, run.fitted)
@@ -154,12 +166,54 @@ def run_recipe(df: DataFrame, steps: list[dict],
     return RecipeRun(current, runs, staged)
 
 
-def _fit(df: DataFrame, tool, col: str | None, params: dict) -> dict:
+def together(df: DataFrame, steps: list[dict], first: int,
+             fitted: list[dict | None] | None = None) -> dict[int, tuple[str, Need]]:
+    """The steps from ``first`` on that can be fitted on ``df`` as it is now, with
+    what they need.
+
+    A step reads its column.  It sees ``df`` as long as no step before it writes
+    that column, removes rows or changes other columns; the search ends at a step
+    that may do the latter, such as a user's own step that does not say what it
+    writes, or one whose column is not there yet.
+    """
+    wanted: dict[int, tuple[str, Need]] = {}
+    written: set[str] = set()
+    for i in range(first, len(steps)):
+        tool, params = TOOLS.get(steps[i].get("tool")), steps[i].get("params") or {}
+        if tool is None:
+            continue
+        col = steps[i].get("col")
+        if i == first:
+            col = resolve(col, df.columns)
+        if col not in df.columns:
+            break
+        given = fitted[i] if fitted else None
+        need = _need(tool, params) if given is None and col.lower() not in written else None
+        if need is not None:
+            wanted[i] = (col, need)
+        writes = tool.writes(col, params)
+        if writes is None:
+            break
+        written |= {w.lower() for w in writes}
+    return wanted
+
+
+def _need(tool: Tool, params: dict) -> Need | None:
+    """None too for a step with wrong parameters, which fails when its turn comes."""
+    try:
+        if tool.check:
+            tool.check(params)
+        return tool.needs(params) if tool.needs else None
+    except (ValueError, TypeError, KeyError):
+        return None
+
+
+def _fit(df: DataFrame, tool: Tool, col: str | None, params: dict, found: dict | None = None) -> dict:
     if tool.needs_column and col not in df.columns:
         raise ValueError(f"no column '{col}'")
     if tool.check:
         tool.check(params)
-    return tool.fit(df, col, params)
+    return tool.fit(df, col, params) if found is None else tool.answer(col, params, found)
 
 
 def _fits_later(steps: list[dict]) -> bool:
