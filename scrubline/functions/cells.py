@@ -58,10 +58,13 @@ def is_one_of(df: DataFrame, name: str, values: list) -> Column:
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
-    """NaN is a missing cell; Spark's own null tests would not see it."""
-    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, _FLOATS)]
+    """NaN is a missing cell; Spark's own null tests would not see it.
+
+    The cell is named once, so that chained calls add up and do not double.
+    """
+    floats = {f.name: f.dataType for f in df.schema.fields if isinstance(f.dataType, _FLOATS)}
     return df.withColumns(
-        {c: F.when(~F.isnan(col(c)), col(c)) for c in floats}
+        {c: F.nanvl(col(c), F.lit(None).cast(t)) for c, t in floats.items()}
     ) if floats else df
 
 

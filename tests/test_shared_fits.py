@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from scrubline.operators import apply_step
 from scrubline.operators.base import TOOLS, Change, own_column, plan_step, step
 from scrubline.plans.recipe import run_recipe, together
 
@@ -118,3 +119,15 @@ def test_no_rows(wide):
     run = run_recipe(wide.limit(0), [s("flag_outliers", "c0"), s("impute_missing", "word", strategy="mode"),
                                      s("flag_outliers", "c1", method="zscore")])
     assert [r.status for r in run.runs] == ["ok", "error", "ok"] and run.df.count() == 0
+
+
+def test_chained_calls_add_up(wide):
+    """Each call guards against NaN anew; the plan grows by a guard, not by a factor."""
+    df = wide.select("id", "c0")
+    for _ in range(20):
+        df = apply_step(df, "validate_rule", "c0", {"min": 1})
+    assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 5000
+    nan = df.select(F.lit(float("nan")).alias("c0"), F.lit(float("nan")).cast("float").alias("f"))
+    got = apply_step(nan, "impute_missing", "c0")
+    assert got.dtypes[:2] == [("c0", "double"), ("f", "float")]
+    assert got.first() == (None, None, True)
