@@ -180,7 +180,14 @@ def verify_cells(rows: DataFrame, texts: DataFrame) -> DataFrame:
 
         def links(key, rows):
             cell = Cell(key, rows)
-            sets = [set(shingles(r[-1]).tolist()) for r in rows]
+            texts = [r[-1] for r in rows]
+            made: dict[int, np.ndarray] = {}  # eight bytes a shingle, of members that are verified
+
+            def full_set(x):
+                if x not in made:
+                    made[x] = shingles(texts[x])
+                return made[x]
+
             head = list(range(int(cell.root.max()) + 1))  # components that have met here
 
             def find(x):
@@ -194,8 +201,9 @@ def verify_cells(rows: DataFrame, texts: DataFrame) -> DataFrame:
             for _, x, y in sorted(pairs):
                 a, b = find(int(cell.root[x])), find(int(cell.root[y]))
                 if a != b:
-                    both = len(sets[x] & sets[y])
-                    if den * both >= num * (len(sets[x]) + len(sets[y]) - both):
+                    sx, sy = full_set(x), full_set(y)
+                    both = len(np.intersect1d(sx, sy, assume_unique=True))
+                    if den * both >= num * (len(sx) + len(sy) - both):
                         head[a] = b
                         found.append((cell.node[x], cell.node[y]))
             return found
