@@ -89,6 +89,26 @@ def _(spark, sf):
     return apply_step(df, "normalize_dates", "order_date", {"dayfirst": True})
 
 
+#: Spellings that the rows of ``orders`` are dealt to: Spark's pattern, DuckDB's.
+SPELLINGS = [("MM/dd/yy", "%m/%d/%y"), ("MMM d, yy", "%b %-d, %y"), ("EEE d MMM yyyy", "%a %-d %b %Y"),
+             ("EEEE, MMMM d, yyyy", "%A, %B %-d, %Y"), ("d-MMM-yy", "%-d-%b-%y")]
+
+
+@query("normalize_dates_spellings", sql=f"""
+select o_orderkey, case o_orderkey % {len(SPELLINGS)}
+    {" ".join(f"when {i} then strftime(o_orderdate, '{duck}')" for i, (_, duck) in enumerate(SPELLINGS))} end as spelled,
+  strftime(o_orderdate, '%Y-%m-%d') as day from orders""")
+def _(spark, sf):
+    """Every order's date in one of five spellings, and what is read from it."""
+    spelled = None
+    for i, (form, _duck) in enumerate(SPELLINGS):
+        hit, text = F.col("o_orderkey") % len(SPELLINGS) == i, F.date_format("o_orderdate", form)
+        spelled = F.when(hit, text) if spelled is None else spelled.when(hit, text)
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    df = orders.select("o_orderkey", spelled.alias("spelled")).withColumn("day", F.col("spelled"))
+    return apply_step(df, "normalize_dates", "day")
+
+
 @query("standardize_categories_auto", uses=ORDERS, sql=f"""
 with {duck_standard('priority', 'dirty_orders')}
 select d.* replace (coalesce(v, priority) as priority) from dirty_orders d

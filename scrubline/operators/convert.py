@@ -8,17 +8,25 @@ from pyspark.sql import functions as F
 from ..functions import cells
 from ..functions import patterns as P
 from ..functions.cells import col as c_
-from ..functions.dates import with_date
+from ..functions.dates import PIVOT_YEAR, with_date
 from .base import Change, own_column, step
 
 
-@step("normalize_dates", writes=own_column)
+def _pivot(params: dict) -> None:
+    pivot = params.get("pivot_year", PIVOT_YEAR)
+    if pivot is not None and (isinstance(pivot, bool) or not isinstance(pivot, int) or not 1099 <= pivot <= 9999):
+        raise ValueError("pivot_year is a year of four digits from 1099 on, or None")
+
+
+@step("normalize_dates", check=_pivot, writes=own_column)
 def normalize_dates(df: DataFrame, col, params, fitted) -> Change:
     """To ``yyyy-MM-dd`` text; cells that are no date stay as they are.
 
-    ``as_date`` gives a date column instead, null where nothing fits.
+    ``as_date`` gives a date column instead, null where nothing fits.  Years of
+    two digits end with ``pivot_year`` (2075: 76 is 1976); None leaves them alone.
     """
-    base = with_date(df, cells.as_text(df, col), "_day", bool(params.get("dayfirst", False)))
+    base = with_date(df, cells.as_text(df, col), "_day", bool(params.get("dayfirst", False)),
+                     params.get("pivot_year", PIVOT_YEAR))
     old, day = cells.as_text(df, col), F.col("_day")
     iso = F.coalesce(F.date_format(day, "yyyy-MM-dd"), old)
     return Change(assign={col: day if params.get("as_date") else iso},

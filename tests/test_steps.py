@@ -27,11 +27,25 @@ def test_dates(column):
     ("13/02/2021", "2021-02-13"), ("2021-02-30", "2021-02-30"), ("99/99/2021", "99/99/2021"),
     ("5", "5"), ("2021-03-04 10:00:00", "2021-03-04"), ("2021-03-04T10:00:00Z", "2021-03-04"),
     ("4 Mar 2021", "2021-03-04"), ("Sept 4 2021", "2021-09-04"), ("04-Mar-2021", "2021-03-04"),
-    (" 2021/3/4 ", "2021-03-04"), ("May 4th, 2021", "2021-05-04"), ("25:61", "25:61")])
+    (" 2021/3/4 ", "2021-03-04"), ("May 4th, 2021", "2021-05-04"), ("25:61", "25:61"),
+    ("01/02/21", "2021-01-02"), ("Mar 5, 21", "2021-03-05"), ("Mon 5 Jan 2021", "2021-01-05"),
+    ("Thursday, 4 March 2021", "2021-03-04"), ("sat. 03/06/2021", "2021-03-06"), ("12/31/75", "2075-12-31"),
+    ("12/31/76", "1976-12-31"), ("31.12.99", "1999-12-31"), ("4th-Mar-21 10:30", "2021-03-04"),
+    ("1/2-21", "1/2-21"), ("Mon", "Mon"), ("Mar 21", "Mar 21"), ("sunny 5 Mar 2021", "sunny 5 Mar 2021"),
+    ("13/13/21", "13/13/21")])
 def test_date_spellings(column, text, want):
     assert values(apply_step(column([text]), "normalize_dates", "c")) == [want]
 
 
+def test_years_of_two_digits(column):
+    df = column(["01/02/21", "5 Mar 99", "2021-01-02"])
+    assert values(apply_step(df, "normalize_dates", "c", {"pivot_year": None}))[:2] == ["01/02/21", "5 Mar 99"]
+    assert values(apply_step(df, "normalize_dates", "c", {"pivot_year": 1999})) == [
+        "1921-01-02", "1999-03-05", "2021-01-02"]
+    with pytest.raises(ValueError, match="pivot_year"):
+        apply_step(df, "normalize_dates", "c", {"pivot_year": "2000"})
+
+
 def test_dates_dayfirst(column):
     df = column(["03/04/2021", "2021-03-04", "12/31/2021"])
     got = values(apply_step(df, "normalize_dates", "c", {"dayfirst": True}))
