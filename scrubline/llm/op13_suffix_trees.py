@@ -236,9 +236,11 @@ def blocks(base: DataFrame, groups: int, heavy: np.ndarray) -> DataFrame:
                         found.append(int(h[t[0]]) % groups)
                         packed.append(_pack(did, h, t, a, none, none, b""))
                     light = [x[~over] for x in (text, at, start, size, key)]
-                    longer = [np.array(c, x.dtype) for c, x in zip(zip(*sent, strict=True), light, strict=True)]
-                    text, at, start, size, key = (
-                        np.concatenate(x) for x in zip(light, longer or [x[:0] for x in light], strict=True))
+                    text, at, start, size, key = light
+                    if sent:  # none if the piece has no overfull prefix
+                        text, at, start, size, key = (
+                            np.concatenate([x, np.array(c, x.dtype)])
+                            for x, c in zip(light, zip(*sent, strict=True), strict=True))
                 if not len(key):
                     continue
                 group = ((key * _STEP) >> _SHIFT) % np.uint64(groups)

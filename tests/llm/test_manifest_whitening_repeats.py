@@ -7,6 +7,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scrubline.llm import op11_merkle_manifest as op11
 from scrubline.llm import op12_whitening as op12
@@ -264,3 +265,12 @@ def test_hot_prefixes_are_split(spark):
     total, heavy = op13.count_prefixes(op13._base(df, "doc_id", "text"), 64)
     assert total == 600 and len(heavy)
     assert full(op13.repeat_spans(df, group=64).drop("spans")) == brute_repeats(rows)
+
+
+def test_hot_prefixes_of_some_batches_only(spark):
+    """Batches without an overfull prefix, beside some that have one."""
+    hot = [(k, f"u{k} one two three four five six seven eight nine ten eleven twelve thirteen v{k % 3}") for k in range(200)]
+    cold = [(1000 + k, " ".join(f"c{k % 2}x{i}" for i in range(40))) for k in range(6)]
+    df = spark.createDataFrame(hot + cold, "doc_id long, text string").repartitionByRange(2, F.col("doc_id") >= 1000)
+    assert len(op13.count_prefixes(op13._base(df, "doc_id", "text"), 64)[1])
+    assert full(op13.repeat_spans(df, group=64).drop("spans")) == brute_repeats(hot + cold)
