@@ -156,7 +156,11 @@ def changed(before: Column, after: Column) -> Column:
     return ~before.eqNullSafe(after)
 
 
-def group_key(c: Column, longest: int = 128) -> Column:
+#: Texts of more characters are grouped by their digest.
+LONGEST_KEY = 128
+
+
+def group_key(c: Column, longest: int = LONGEST_KEY) -> Column:
     """A text as grouping key: itself when short, its SHA-256 when long.
 
     Grouping whole documents would move every byte of them through the

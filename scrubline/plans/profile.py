@@ -238,14 +238,17 @@ def number_signals(df: DataFrame, by: str | None = None) -> DataFrame:
 
 def value_frequencies(df: DataFrame, by: str | None = None) -> DataFrame:
     """``(col, k, f, n)``: distinct cells per column as grouping keys, with
-    the key of their folded form, and how many rows hold them."""
+    the key of their folded form, and how many rows hold them.
+
+    The folded form of a short text follows from its key and is made once for each
+    distinct text; only long texts, known by digests, carry it through the shuffle.
+    """
     parts = []
     if texts := _by_kind(_of(df, by), "text"):
-        x = F.col("x")
+        x, is_long = F.col("x"), F.length("x") > cells.LONGEST_KEY
         parts.append(_long(df, {n: c_(n) for n in texts}, by).filter("x is not null")
-                     .withColumn("folded", cells.fold(x))
                      .select("col", cells.group_key(x).alias("k"),
-                             cells.group_key(F.col("folded")).alias("f")))
+                             F.when(is_long, cells.group_key(cells.fold(x))).alias("f")))
     if others := [f.name for f in df.schema.fields
                   if cells.kind_of(f.dataType) in ("number", "bool")
                   or isinstance(f.dataType, (T.DateType, T.TimestampType,
@@ -255,10 +258,15 @@ def value_frequencies(df: DataFrame, by: str | None = None) -> DataFrame:
         parts.append(_long(df, {n: (c_(n) + F.lit(0.0).cast(df.schema[n].dataType) if isinstance(
             df.schema[n].dataType, floats) else c_(n)).cast("string") for n in others}, by)
                      .filter("x is not null")
-                     .select("col", x.alias("k"), x.alias("f")))
+                     .select("col", x.alias("k"), F.lit(None).cast("string").alias("f")))
     if not parts:
         return small_table(df.sparkSession, [], "col string, k string, f string, n bigint")
     counted = [p.groupBy("col", "k", "f").agg(F.count(F.lit(1)).alias("n")) for p in parts]
+    if texts:
+        folded = cells.group_key(cells.fold(F.expr("substring(k, 2)")))
+        counted[0] = counted[0].withColumn("f", F.coalesce("f", folded))
+    if others:
+        counted[-1] = counted[-1].withColumn("f", F.col("k"))
     out = counted[0]
     for more in counted[1:]:
         out = out.unionByName(more)

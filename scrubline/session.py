@@ -14,6 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 32 << 20
+TASK_BYTES = 16 << 20
+_TASK_INPUT = ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -34,10 +36,19 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
 
 
 def prepare_session(spark: SparkSession) -> SparkSession:
-    """Settings the results rely on: one time zone, adaptive execution."""
+    """Settings the results rely on: one time zone, adaptive execution.
+
+    A task reads ``TASK_BYTES`` of a file or a shuffle at most, as far as these
+    are cut so finely, less if the session says so: its hash tables stay small
+    on large tables, where there are more tasks instead of larger ones.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    to_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for name in _TASK_INPUT:
+        if to_bytes(spark.conf.get(name)) > TASK_BYTES:
+            spark.conf.set(name, str(TASK_BYTES))
     return spark
 
 
