@@ -5,11 +5,13 @@ rows per column however large the input.  It is gathered in a fixed number of
 passes, each an aggregate with map-side combine:
 
 * ``table_signals``: rows, nulls, blanks; one row per partition is shuffled;
-* ``text_signals`` / ``number_signals``: the columns are unpivoted on the fly
-  and aggregated per column, again a handful of rows per partition;
+* ``number_signals``: the columns are unpivoted on the fly and aggregated per
+  column, again a handful of rows per partition;
 * ``value_frequencies``: the only wide shuffle, distinct values per column,
   long texts as digests; distinct counts, casing variants and top values all
   come from it;
+* ``text_signals``: likewise per column, over the distinct short texts of the
+  frequencies, each with its number of cells, and over the long texts;
 * ``duplicate_rows``: one group-by over whole rows, long texts as digests;
 * outliers: exact quantiles by narrowing, then one counting pass.
 
@@ -143,8 +145,21 @@ def _which(c: Column, patterns: dict[str, str], possible: dict[str, Column]) ->
     return out
 
 
+def counted_texts(df: DataFrame, freq: DataFrame, by: str | None = None) -> DataFrame:
+    """``(col, x, n)``: the distinct texts of every column and how many cells hold
+    them.  Short ones stand in the frequencies; long ones, known there by their
+    digest only, are taken from the table cell by cell."""
+    names = _by_kind(_of(df, by), "text")
+    name = F.substring_index("col", SEPARATOR, -1) if by else F.col("col")
+    short = freq.filter(name.isin(names) & F.col("k").startswith("=")).select(
+        "col", F.expr("substring(k, 2)").alias("x"), "n")
+    long = text_values(df, by).filter(F.length("x") > cells.LONGEST_KEY)
+    return short.unionByName(long.withColumn("n", F.lit(1).cast("bigint")))
+
+
 def text_counts(values: DataFrame) -> DataFrame:
-    """Format and cleanliness counts per column of ``(col, x)``.
+    """Format and cleanliness counts per column of ``(col, x, n)``, where ``n``
+    cells hold ``x``.
 
     The first character and the length decide which patterns a cell can match
     at all, so plain text is hardly ever given to a pattern, and long text to
@@ -171,21 +186,30 @@ def text_counts(values: DataFrame) -> DataFrame:
     # (signs, exponents) are parsed.
     number = F.when(F.col("numeric") & digit, True).otherwise(
         head.isin(*"0123456789+-.,iI") & cells.grouped_text_to_number(bare).isNotNull())
+
+    def cells_of(hit: Column) -> Column:
+        return F.sum(F.when(hit, F.col("n")).otherwise(0))
+
     return seen.groupBy("col").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(F.col("date") == i).alias(f"p{i}") for i in range(len(P.DATE_FORMATS))],
-        *[F.count_if(F.col("phone") == i).alias(f"p{len(P.DATE_FORMATS) + i}")
+        F.sum("n").alias("n"),
+        *[cells_of(F.col("date") == i).alias(f"p{i}") for i in range(len(P.DATE_FORMATS))],
+        *[cells_of(F.col("phone") == i).alias(f"p{len(P.DATE_FORMATS) + i}")
           for i in range(len(P.PHONE_FORMATS))],
-        F.count_if(currency).alias("currency"), F.count_if("numeric").alias("numeric"),
-        F.count_if(bools).alias("bools"),
-        (F.count_if(x != bare) + F.count_if(cells.has_double_space(x))).alias("spaces"),
-        F.count_if(number).alias("numbers"), F.count_if(non_ascii(x)).alias("non_ascii"),
+        cells_of(currency).alias("currency"), cells_of(F.col("numeric")).alias("numeric"),
+        cells_of(bools).alias("bools"),
+        (cells_of(x != bare) + cells_of(cells.has_double_space(x))).alias("spaces"),
+        cells_of(number).alias("numbers"), cells_of(non_ascii(x)).alias("non_ascii"),
     )
 
 
 def text_signals(df: DataFrame, by: str | None = None, number_values: int = NUMBER_VALUES,
-                 number_share: float = NUMBER_SHARE) -> DataFrame:
-    """Date, phone, currency, number, boolean and white-space signals."""
+                 number_share: float = NUMBER_SHARE, values: DataFrame | None = None) -> DataFrame:
+    """Date, phone, currency, number, boolean and white-space signals.
+
+    ``values`` may hold the distinct texts already, see ``counted_texts``.
+    """
+    if values is None:
+        values = text_values(df, by).withColumn("n", F.lit(1).cast("bigint"))
     n_dates, n_phones = len(P.DATE_FORMATS), len(P.PHONE_FORMATS)
     dates = [f"p{i}" for i in range(n_dates)]
     phones = [f"p{n_dates + i}" for i in range(n_phones)]
@@ -203,18 +227,21 @@ def text_signals(df: DataFrame, by: str | None = None, number_values: int = NUMB
          f"and n > {int(number_values)}, numbers, null)"),
         ("col", "non_ascii", None, "non_ascii"),
     ]
-    return _signals(text_counts(text_values(df, by)), entries).filter("value > 0")
+    return _signals(text_counts(values), entries).filter("value > 0")
 
 
-def nfc_signals(df: DataFrame, by: str | None = None) -> DataFrame:
+def nfc_signals(df: DataFrame, by: str | None = None, values: DataFrame | None = None) -> DataFrame:
     """Cells not in composed Unicode form; only non-ASCII text is looked at."""
+    if values is None:
+        values = text_values(df, by).withColumn("n", F.lit(1).cast("bigint"))
+
     @F.pandas_udf(T.BooleanType())
     def decomposed(x: pd.Series) -> pd.Series:
         import unicodedata
         return ~x.map(lambda v: unicodedata.is_normalized("NFC", v)).astype(bool)
 
-    counted = (text_values(df, by).filter(non_ascii(F.col("x"))).groupBy("col")
-               .agg(F.count_if(decomposed("x")).alias("n")))
+    counted = (values.filter(non_ascii(F.col("x"))).withColumn("decomposed", decomposed("x"))
+               .groupBy("col").agg(F.sum(F.when(F.col("decomposed"), F.col("n")).otherwise(0)).alias("n")))
     return _signals(counted, [("col", "non_nfc", None, "n")]).filter("value > 0")
 
 
@@ -431,16 +458,17 @@ def profile_by(df: DataFrame, by: str, groups: list[str], approximate: bool = Fa
 def _profiles(df: DataFrame, by: str | None, groups: list, approximate: bool,
               limits: Limits) -> dict[str | None, list[tuple]]:
     """Profile rows of every group; without ``by`` the only group is None."""
-    with ThreadPoolExecutor(4) as pool:
+    with Workspace(df.sparkSession), ThreadPoolExecutor(4) as pool:
         def later(job, *args):
             return pool.submit(inheritable_thread_target(df.sparkSession)(job), *args)
 
         shape = later(lambda: _told(table_signals(df, by).collect(), by))
-        texts = later(_text_rows, df, by, limits)
         numbers = later(lambda: _told(number_signals(df, by).collect(), by))
-        outliers = later(_outlier_rows, df, by, texts, approximate)
         repeated = later(lambda: {None: duplicate_rows(df).first()["n"]} if by is None else repeated_by(df, by))
-        values = _value_rows(df, by, shape.result(), groups, limits)
+        freq = stage(value_frequencies(df, by), "frequencies")
+        texts = later(_text_rows, df, by, limits, freq)
+        outliers = later(_outlier_rows, df, by, texts, approximate)
+        values = _value_rows(df, by, freq, shape.result(), groups, limits)
     out = {}
     schema_rows = column_rows(_of(df, by))
     for g in groups:
@@ -472,10 +500,11 @@ def _no_rows(df: DataFrame) -> list[tuple]:
     return rows + [(n, s, None, 0.0, None) for n in df.columns for s in ("n_filled", "null_pct")]
 
 
-def _text_rows(df: DataFrame, by: str | None, limits: Limits) -> dict:
-    found = text_signals(df, by, limits.number_values, limits.number_share).collect()
+def _text_rows(df: DataFrame, by: str | None, limits: Limits, freq: DataFrame) -> dict:
+    values = counted_texts(df, freq, by)
+    found = text_signals(df, by, limits.number_values, limits.number_share, values).collect()
     if any(r["signal"] == "non_ascii" for r in found):
-        found += nfc_signals(df, by).collect()
+        found += nfc_signals(df, by, values).collect()
     return _told(found, by)
 
 
@@ -483,44 +512,48 @@ def _outlier_rows(df: DataFrame, by: str | None, texts, approximate: bool) -> di
     like = [(g, r[0]) for g, rows in texts.result().items() for r in rows if r[1] == "number_like"]
     numeric = {n: c_(n).cast("double") for n in _by_kind(_of(df, by), "number")}
     numeric |= {n: cells.grouped_text_to_number(c_(n)) for n in sorted({n for _, n in like})}
-    if by is None:
-        return {None: [(r["col"], "iqr_outliers", None, float(r["n"]), None)
-                       for r in outlier_counts(df, numeric, approximate).collect()]}
     wanted = set(like) | {(g, n) for n in _by_kind(_of(df, by), "number") for g in (None,)}
-    out: dict = {}
-    for (g, n), k in outliers_by(df, numeric, by, approximate).items():
-        if (g, n) in wanted or (None, n) in wanted:
-            out.setdefault(g, []).append((n, "iqr_outliers", None, float(k), None))
-    return out
-
-
-def _value_rows(df: DataFrame, by: str | None, shape: dict, groups: list, limits: Limits) -> dict:
+    with Workspace(df.sparkSession):
+        if like:  # texts are parsed once, the passes read numbers
+            df = stage(df.select(*([c_(by)] if by else []), *[
+                e.alias(f"number_{i}") for i, e in enumerate(numeric.values())]), "numbers")
+            numeric = {n: F.col(f"number_{i}") for i, n in enumerate(numeric)}
+        if by is None:
+            return {None: [(r["col"], "iqr_outliers", None, float(r["n"]), None)
+                           for r in outlier_counts(df, numeric, approximate).collect()]}
+        out: dict = {}
+        for (g, n), k in outliers_by(df, numeric, by, approximate).items():
+            if (g, n) in wanted or (None, n) in wanted:
+                out.setdefault(g, []).append((n, "iqr_outliers", None, float(k), None))
+        return out
+
+
+def _value_rows(df: DataFrame, by: str | None, freq: DataFrame, shape: dict, groups: list,
+                limits: Limits) -> dict:
     """Signals that come from the value frequencies."""
     kinds = cells.kinds(_of(df, by))
     out: dict = {g: [] for g in groups}
-    with Workspace(df.sparkSession):
-        freq = stage(value_frequencies(df, by), "frequencies")
-        distinct = {(split_key(r["col"]) if by else (None, r["col"])): r for r in distinct_counts(freq).collect()}
-        for g in groups:
-            rows, signals = out[g], shape.get(g) or _no_rows(_of(df, by))
-            n_rows = next(r[3] for r in signals if r[1] == "n_rows")
-            filled = {r[0]: r[3] for r in signals if r[1] == "n_filled"}
-            few = float("inf") if limits.casing_values is None else max(
-                limits.casing_values, n_rows * limits.casing_share + 1e-6)
-            for name in kinds:
-                r = distinct.get((g, name))
-                n_unique = float(r["n_unique"]) if r else 0.0
-                rows.append((name, "n_unique", None, n_unique, None))
-                if r and kinds[name] == "text" and n_unique <= few and r["folded"] < n_unique:
-                    rows.append((name, "casing_raw", None, n_unique, None))
-                    rows.append((name, "casing_folded", None, float(r["folded"]), None))
-                if re.search(P.KEY_COLUMN, name) and n_unique >= limits.key_share * n_rows:
-                    repeated = n_rows - n_unique - (filled[name] < n_rows)
-                    if repeated > 0:
-                        rows.append((name, "duplicate_keys", None, float(repeated), None))
-        for r in top_values(df, freq, list(kinds), by).collect():
-            group, name = split_key(r["col"]) if by else (None, r["col"])
-            out[group].append((name, "top_value", str(r["rank"]), float(r["n"]), r["value"]))
+    distinct = {(split_key(r["col"]) if by else (None, r["col"])): r for r in distinct_counts(freq).collect()}
+    for g in groups:
+        rows, signals = out[g], shape.get(g) or _no_rows(_of(df, by))
+        n_rows = next(r[3] for r in signals if r[1] == "n_rows")
+        filled = {r[0]: r[3] for r in signals if r[1] == "n_filled"}
+        few = float("inf") if limits.casing_values is None else max(
+            limits.casing_values, n_rows * limits.casing_share + 1e-6)
+        for name in kinds:
+            r = distinct.get((g, name))
+            n_unique = float(r["n_unique"]) if r else 0.0
+            rows.append((name, "n_unique", None, n_unique, None))
+            if r and kinds[name] == "text" and n_unique <= few and r["folded"] < n_unique:
+                rows.append((name, "casing_raw", None, n_unique, None))
+                rows.append((name, "casing_folded", None, float(r["folded"]), None))
+            if re.search(P.KEY_COLUMN, name) and n_unique >= limits.key_share * n_rows:
+                repeated = n_rows - n_unique - (filled[name] < n_rows)
+                if repeated > 0:
+                    rows.append((name, "duplicate_keys", None, float(repeated), None))
+    for r in top_values(df, freq, list(kinds), by).collect():
+        group, name = split_key(r["col"]) if by else (None, r["col"])
+        out[group].append((name, "top_value", str(r["rank"]), float(r["n"]), r["value"]))
     return out
 
 
